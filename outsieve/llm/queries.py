@@ -40,7 +40,7 @@ QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_decontam
 _OP2 = f"""
 WITH lines AS (
   SELECT doc_id, source, u.pos AS pos, u.line AS line FROM (
-    SELECT doc_id, source, unnest(list_transform(string_split(text, chr(10)), (x, i) -> {{'pos': i - 1, 'line': x}})) AS u FROM documents)),
+    SELECT doc_id, source, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'pos': i - 1, 'line': x}})) AS u FROM documents)),
 spread AS (
   SELECT trim(line) AS l, min((doc_id, pos)) AS first FROM lines WHERE trim(line) <> ''
   GROUP BY 1 HAVING count(DISTINCT source) >= {linededup.MIN_SITES}),
