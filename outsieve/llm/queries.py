@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, ngramjoin, spfst, vecdedup
+import corpus_pipeline
+
+from . import chaining, decontam, langid, license, linededup, ngramjoin, spfst, surrogate, tokencount, vecdedup
 from .common import read_table
 
 
@@ -27,6 +29,23 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdedup.link(read_table(spark, sf_dir, "embeddings"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = surrogate.pseudonymise(read_table(spark, sf_dir, "documents"), key="registered-query", counts=True)
+    return out.select("doc_id", "n_entities", "text")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(read_table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.passages(read_table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spfst.encode_column(read_table(spark, sf_dir, "documents"), ids=False)
 
@@ -35,7 +54,8 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.link(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_decontamination, op4_embedding_near_dedup, op8_sentencepiece, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_decontamination, op4_embedding_near_dedup, op5_pii_surrogates, op6_token_counts, op7_substring_dedup, op8_sentencepiece, op9_license_scan, op10_ngram_jaccard)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 _OP2 = f"""
 WITH lines AS (
@@ -52,4 +72,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
 FROM marked GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op2_line_dedup": _OP2}
+ORACLE_SQL = {"op2_line_dedup": _OP2, "op9_license_scan": license.scan_sql()}
