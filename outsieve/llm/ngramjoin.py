@@ -5,7 +5,7 @@ shingles. Nothing is approximate:
 
 1. Each text becomes a set id (hash of its sorted shingle set), its size, a prefix (the
    25 % + 1 first shingles in one global order; linked sets share one) and a parity
-   bitmap of about two bits a shingle. Equal sets share an id, so copies meet here.
+   bitmap of one to two bits a shingle. Equal sets share an id, so copies meet here.
    The order puts shingles that a bounded sample shows to be frequent last; it only
    steers cost, any order gives the same links.
 2. Star round: each prefix shingle's sets are paired with the group's least set id,
@@ -57,7 +57,7 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def width(n: int) -> int:
-    return max(64, 1 << (2 * n - 1).bit_length())
+    return max(64, 1 << (n - 1).bit_length())
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -178,11 +178,13 @@ def _tiles(percent: int):
         pack = lambda rows: np.stack([folded(np.frombuffer(r["bits"], np.uint8), to) for r in rows])
         column = lambda rows, c: np.array([r[c] for r in rows], np.int64)
         xb, yb, xn, yn = pack(x), pack(y), column(x, "n")[:, None], column(y, "n")[None]
+        xp, yp = column(x, "pos")[:, None], column(y, "pos")[None]
         step = max(1, 8_000_000 // yb.size)
         for at in range(0, len(x), step):
             part = slice(at, at + step)
             apart = np.bitwise_count(xb[part, None] ^ yb[None]).sum(2, dtype=np.int64)
-            fit = ((xn[part] + yn - apart) // 2 >= overlap_needed(xn[part], yn, percent)) & (column(x, "comp")[part, None] != column(y, "comp")[None])
+            need = overlap_needed(xn[part], yn, percent)
+            fit = (np.minimum(xn[part] - xp[part], yn - yp) >= need) & ((xn[part] + yn - apart) // 2 >= need) & (column(x, "comp")[part, None] != column(y, "comp")[None])
             for i, j in zip(*np.nonzero(fit), strict=True):
                 u, v = x[at + i]["set_id"], y[j]["set_id"]
                 found.add((min(u, v), max(u, v)))
@@ -214,11 +216,17 @@ def _tile_pairs(left: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     same = F.transform(upto("nb"), lambda o: tile(0, own, F.least(blk, o), F.greatest(blk, o), F.when(blk <= o, 0).otherwise(1)))
     home = F.when(F.col("up").isNotNull(), F.transform(upto("up"), lambda o: tile(1, own, blk, o, F.lit(0)))).otherwise(none)
     guest = F.when(F.col("down").isNotNull(), F.transform(upto("down"), lambda o: tile(1, own - 1, o, blk, F.lit(1)))).otherwise(none)
-    dealt = near.select("tok", "set_id", "n", "comp", "bits", F.explode(F.concat(same, home, guest)).alias("t"))
-    rows = dealt.groupBy("tok", "t.kind", "t.band", "t.i", "t.j").agg(F.collect_list(F.struct(F.col("t.side").alias("side"), "set_id", "n", "comp", "bits")).alias("rows"))
+    dealt = near.select("tok", "set_id", "n", "pos", "comp", "bits", F.explode(F.concat(same, home, guest)).alias("t"))
+    rows = dealt.groupBy("tok", "t.kind", "t.band", "t.i", "t.j").agg(F.collect_list(F.struct(F.col("t.side").alias("side"), "set_id", "n", "pos", "comp", "bits")).alias("rows"))
     return rows.where("size(rows) > 1").select("rows").mapInArrow(_tiles(percent), "a long, b long")
 
 
+def _places(percent: int) -> str:
+    """Sizes and places of a shared shingle let (a, b) link, were it their first shared one."""
+    need = f"ceil({percent} * (na + nb) / {100 + percent}.0)"
+    return f"100 * least(na, nb) >= {percent} * greatest(na, nb) and least(na - pa, nb - pb) >= {need}"
+
+
 def _bounded_pairs(pairs: DataFrame, size: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those that sizes and bitmaps let link."""
     pairs = pairs.join(size.select(F.col("set_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("set_id").alias("b"), F.col("n").alias("nb")), "b")
@@ -233,29 +241,34 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = W
     sig = scratch(signatures(docs, id_col, text, k, percent))
     own = sig.select(F.col(id_col).alias("__id"), "n_shingles", "set_id", "text_hash")
     sets = scratch(own.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("__id", "text_hash")).alias("r"), F.first("n_shingles").alias("n")).select("set_id", F.col("r.__id").alias("rep"), F.col("r.text_hash").alias("text_hash"), "n"))
-    postings = sig.where("set_id is not null").select("set_id", F.col("n_shingles").alias("n"), F.explode("prefix").alias("tok"))
-    met = scratch(postings.groupBy("tok").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("tok", "lo"))
+    postings = sig.where("set_id is not null").select("set_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "tok"))
+    met = postings.groupBy("tok").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi"), F.count("*").alias("c"))
+    met = scratch(met.where("lo < hi").select("tok", "c"))
     members = postings.join(F.broadcast(met) if small_enough(met, 2_000_000) else met, "tok")
-    members = scratch(members.groupBy("tok", "set_id").agg(F.first("n").alias("n"), F.first("lo").alias("lo")))
+    members = scratch(members.groupBy("tok", "set_id").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("c").alias("c")))
     bits = sig.where("set_id is not null").select("set_id", "bits")
     needed = members.select("set_id").distinct()
     bits = scratch(semi(bits, needed, "set_id").groupBy("set_id").agg(F.first("bits").alias("bits")))
 
     # star round
     size = sets.select("set_id", "n")
-    pairs = members.where("lo <> set_id").select(F.col("lo").alias("a"), F.col("set_id").alias("b")).distinct()
+    weight = members.groupBy("set_id").agg(F.sum("c").alias("w"))
+    pivot = members.join(weight, "set_id").groupBy("tok").agg(F.max(F.struct("w", "set_id", "n", "pos")).alias("p"))
+    pivot = pivot.select("tok", F.col("p.set_id").alias("a"), F.col("p.n").alias("na"), F.col("p.pos").alias("pa"))
+    other = members.select("tok", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    pairs = pivot.join(other, "tok").where("a <> b").where(_places(percent)).select("a", "b").distinct()
     pairs = scratch(_bounded_pairs(pairs, size, bits, percent))
     edges = scratch(_verify(pairs, sets, docs, id_col, text, k, percent))
     star = components(edges)
 
     # tile round: a few sets are paired outright, more are dealt to tiles
-    placed = scratch(with_component(members.select("tok", "set_id", "n"), star, "set_id", "comp"))
+    placed = scratch(with_component(members.select("tok", "set_id", "n", "pos"), star, "set_id", "comp"))
     mixed = placed.groupBy("tok").agg(F.min("comp").alias("lc"), F.max("comp").alias("hc"), F.count("*").alias("rows")).where("lc < hc").select("tok", "rows")
     mixed = scratch(mixed)
     left = placed.join(F.broadcast(mixed) if small_enough(mixed, 1_000_000) else mixed, "tok")
-    left = left.select("tok", "set_id", "n", "comp", "rows", F.floor(F.log("n") / math.log(100 / percent) + 1e-9).alias("own"))
-    few, x, y = left.where(f"rows <= {FEW}"), ["tok", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")], ["tok", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")]
-    plain = few.select(*x).join(few.select(*y), "tok").where(f"a < b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    left = left.select("tok", "set_id", "n", "pos", "comp", "rows", F.floor(F.log("n") / math.log(100 / percent) + 1e-9).alias("own"))
+    few, x, y = left.where(f"rows <= {FEW}"), ["tok", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca")], ["tok", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb")]
+    plain = few.select(*x).join(few.select(*y), "tok").where("a < b and ca <> cb").where(_places(percent))
     plain = _bounded_pairs(plain.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), size, bits, percent)
     tiled = _tile_pairs(left.where(f"rows > {FEW}"), bits, percent)
     more = scratch(plain.unionByName(tiled).distinct())
