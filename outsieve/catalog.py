@@ -136,8 +136,7 @@ def seg_counts(spark, sf_dir):
 
 
 def _seeded_hits(spark, sf_dir):
-    df = detect.detected(_seeded(spark, sf_dir), DEFAULT, F.col("response"), F.col("tenant"))
-    return findings_of(df, "doc_id")
+    return findings_of(inspect(_seeded(spark, sf_dir), tenant="tenant"), "doc_id")
 
 
 def top10_rules(spark, sf_dir):
@@ -242,7 +241,7 @@ ORACLE_SQL = {
     "allowlist_antijoin": "SELECT doc_id, 1 AS n FROM documents WHERE doc_id % 12 IN (2, 10)",
     "seg_counts": f"""SELECT doc_id, 'text' AS type, 0 AS start, length(response) AS "end" FROM ({SEEDED}) WHERE doc_id % 12 NOT IN (1, 4, 7, 9)
       UNION ALL SELECT doc_id, u.type, u.a, u.b FROM (SELECT doc_id, unnest(CASE doc_id % 12
-        WHEN 9 THEN [{{'type': 'text', 'a': 0, 'b': 5}}, {{'type': 'code', 'a': 5, 'b': 14 + n}}, {{'type': 'text', 'a': 14 + n, 'b': 19 + n}}, {{'type': 'link', 'a': 19 + n, 'b': 42 + 2 * n}}, {{'type': 'text', 'a': 42 + 2 * n, 'b': l}}]
+        WHEN 9 THEN [{{'type': 'text', 'a': 0, 'b': 5}}, {{'type': 'code', 'a': 5, 'b': 14 + n}}, {{'type': 'text', 'a': 14 + n, 'b': 19 + n}}, {{'type': 'link', 'a': 19 + n, 'b': 41 + 2 * n}}, {{'type': 'text', 'a': 41 + 2 * n, 'b': l}}]
         ELSE [{{'type': 'text', 'a': 0, 'b': p}}, {{'type': 'link', 'a': p, 'b': p + u}}, {{'type': 'text', 'a': p + u, 'b': l}}] END) AS u
         FROM (SELECT doc_id, length('' || doc_id) AS n, length(response) AS l, strpos(response, 'https') - 1 AS p, length(regexp_extract(response, 'https[^ ]+')) AS u FROM ({SEEDED}) WHERE doc_id % 12 IN (1, 4, 7, 9)))""",
     "hits_per_hour": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",

@@ -34,6 +34,15 @@ def spans(text: Column, pattern: str, gate: Column | None = None) -> Column:
     return F.when(test, got).otherwise(F.array().cast(SPAN))
 
 
+def pinned(c: Column) -> Column:
+    """``c``, computed where it stands: the optimiser pushes no predicate on what follows below it.
+
+    Else a filter on the decision (or on exploded findings) is rewritten in terms of the
+    text, and the expression of every detector is copied into it over and over.
+    """
+    return F.when(F.rand(0) >= 0, c)
+
+
 # --- normalisation ---------------------------------------------------------------
 
 # The entity pattern, zero-width code points and limits must be these for equal results.
@@ -115,7 +124,7 @@ def normalise(df: DataFrame, text: str = "response") -> DataFrame:
     first = F.when(F.col(text).isNull(), F.array(F.lit("coerce_str"))).otherwise(F.array().cast("array<string>"))
     steps = F.concat(first, F.col("__dec.steps"), F.array_compact(F.array(*changed)))
     norm = F.struct(F.col(f"__t{len(stages)}").alias("text"), steps.alias("steps"), F.col("__dec.entities").alias("entities"), F.col("__dec.anomalies").alias("anomalies"))
-    return both.withColumn("norm", norm).drop("__raw", "__dec", *(f"__t{i}" for i in range(len(stages) + 1)))
+    return both.withColumn("norm", pinned(norm)).drop("__raw", "__dec", *(f"__t{i}" for i in range(len(stages) + 1)))
 
 
 # --- checks ----------------------------------------------------------------------

@@ -173,5 +173,5 @@ def detected(df: DataFrame, policy: Policy, text: Column, tenant: Column, famili
         if parts:
             more = F.concat(F.col(name), *parts)
             over = F.exists(name, lambda x: x["action"] == "block")
-            df = df.withColumn(name, F.when(over, F.col(name)).otherwise(more) if early_stop else more)
+            df = df.withColumn(name, X.pinned(F.when(over, F.col(name)).otherwise(more) if early_stop else more))
     return df

@@ -75,7 +75,7 @@ def segmented(df: DataFrame, text: Column, name: str = "segments", classifier: s
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SEGMENT).alias("out"))
     step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], prose(a["at"], s["start"]), F.array(s)).alias("out")))
     whole_row = F.aggregate("__cuts", start, step, lambda a: F.concat(a["out"], prose(a["at"], F.length(text))))
-    return df.withColumn(name, whole_row).drop("__cuts")
+    return df.withColumn(name, X.pinned(whole_row)).drop("__cuts")
 
 
 def whole(text: Column) -> Column:

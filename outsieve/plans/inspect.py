@@ -54,4 +54,5 @@ def inspect(df: DataFrame, policies: dict[str, Policy] | None = None, text: str
 
 def findings_of(inspected: DataFrame, *keep: str) -> DataFrame:
     """One row per finding, with ``keep`` columns of its response and its order."""
-    return inspected.select(*keep, F.posexplode("findings").alias("ordinal", "f")).select(*keep, "ordinal", "f.*")
+    rows = inspected.select(*keep, X.pinned(F.col("findings")).alias("findings"))
+    return rows.select(*keep, F.posexplode_outer("findings").alias("ordinal", "f")).where("ordinal is not null").select(*keep, "ordinal", "f.*")
