@@ -30,6 +30,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _LONGEST = 64
 _FLOOR = 1e-7
 _MOST_CACHED = 600_000
+_AT_ONCE = 4096
 
 
 def default_vocabulary() -> str:
@@ -49,6 +50,10 @@ def pre_tokens(text: str) -> list[str]:
     return out
 
 
+#: Arcs of one start and one end: start, end, rows of the words, pieces.
+Arcs = tuple[int, int, np.ndarray, np.ndarray]
+
+
 class Lattice:
     """Pieces of the vocabulary made of letters (and the word mark), and all their prefixes."""
 
@@ -66,51 +71,51 @@ class Lattice:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)))
         pieces = sorted({p for p in pieces if (b := p.lstrip("▁")) == b.lower() and len(p) - len(b) <= 1 and (not b or b.isalpha())})
-        self.id = {p: i for i, p in enumerate(pieces)}
         self.unknown = len(pieces)
-        self.prefixes = {p[:i] for p in pieces for i in range(1, len(p) + 1)}
-
-    def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows (end, word, start, piece) of all words, by end; lengths of the words."""
-        rows: list[tuple[int, int, int, int]] = []
-        ids, prefixes = self.id, self.prefixes
-        for k, w in enumerate(words):
-            n = len(w)
-            for i in range(n):
-                found = False
-                for j in range(i + 1, n + 1):
-                    s = w[i:j]
-                    if s not in prefixes:
-                        break
-                    if (p := ids.get(s)) is not None:
-                        rows.append((j, k, i, p))
-                        found |= j == i + 1
-                if not found:
-                    rows.append((i + 1, k, i, self.unknown))
-        out = np.array(rows, dtype=np.int32).reshape(-1, 4)
-        return out[np.argsort(out[:, 0], kind="stable")], np.fromiter(map(len, words), np.int64, len(words))
-
-
-def _by_end(arcs: np.ndarray):
-    cut = np.flatnonzero(np.diff(arcs[:, 0])) + 1
-    return np.split(arcs, cut) if len(arcs) else []
-
-
-def _add(into: np.ndarray, rows: np.ndarray, what: np.ndarray) -> None:
-    for c in range(into.shape[1]):
-        into[:, c] += np.bincount(rows, what[:, c], len(into))
-
-
-def forward(arcs: np.ndarray, lengths: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """alpha[position, word, column] and each word's total; ``weight``: of (arc, column)."""
-    n, top = len(lengths), int(lengths.max(initial=0))
-    alpha = np.zeros((top + 1, n, weight.shape[1]))
+        nodes = {"": 0}
+        for p in pieces:
+            for i in range(1, len(p) + 1):
+                nodes.setdefault(p[:i], len(nodes))
+        edges = sorted((nodes[s[:-1]] << 21 | ord(s[-1]), k) for s, k in nodes.items() if s)
+        self.edge, self.child = (np.array(x, dtype=np.int64) for x in zip(*edges, strict=True))
+        self.piece = np.full(len(nodes), -1, dtype=np.int64)
+        self.piece[[nodes[p] for p in pieces]] = np.arange(len(pieces))
+
+    def arcs(self, words: list[str]) -> tuple[list[Arcs], np.ndarray]:
+        """Arcs of all words in groups of one start and one end, by start; lengths of the words."""
+        n = len(words)
+        lengths = np.fromiter(map(len, words), np.int64, n)
+        width = int(lengths.max(initial=0))
+        if not width:
+            return [], lengths
+        codes = np.array(words, dtype=f"U{width}").view(np.uint32).reshape(n, width).astype(np.int64)
+        out: list[Arcs] = []
+        for i in range(width):
+            rows, j = np.flatnonzero(lengths > i), i
+            node = np.zeros(len(rows), dtype=np.int64)
+            while len(rows):
+                key = node << 21 | codes[rows, j]
+                at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+                hit = self.edge[at] == key
+                j += 1
+                if j == i + 1:
+                    p = np.where(hit, self.piece[self.child[at]], -1)
+                    out.append((i, j, rows, np.where(p < 0, self.unknown, p)))
+                rows, node = rows[hit], self.child[at[hit]]
+                if j > i + 1 and (ok := self.piece[node] >= 0).any():
+                    out.append((i, j, rows[ok], self.piece[node[ok]]))
+                on = lengths[rows] > j
+                rows, node = rows[on], node[on]
+        return out, lengths
+
+
+def forward(arcs: list[Arcs], lengths: np.ndarray, weights: list[np.ndarray], columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """alpha[position, word, column] and each word's total; ``weights``: of (row, column) by group."""
+    n = len(lengths)
+    alpha = np.zeros((int(lengths.max(initial=0)) + 1, n, columns))
     alpha[0] = 1
-    at = 0
-    for part in _by_end(arcs):
-        w = weight[at : at + len(part)]
-        at += len(part)
-        _add(alpha[part[0, 0]], part[:, 1], alpha[part[:, 2], part[:, 1]] * w)
+    for (i, j, rows, _), w in zip(arcs, weights, strict=True):
+        alpha[j, rows] += alpha[i, rows] * w
     return alpha, alpha[lengths, np.arange(n)]
 
 
@@ -136,11 +141,11 @@ class Scores(dict):
         while len(self.rows) < len(self):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.lettered = np.concatenate([self.lettered, np.zeros_like(self.lettered)])
-        for at in range(0, len(self.waiting), 2000):
-            words = self.waiting[at : at + 2000]
-            has = np.fromiter((any(map(str.isalpha, w)) for w in words), bool, len(words))
+        for at in range(0, len(self.waiting), _AT_ONCE):
+            words = self.waiting[at : at + _AT_ONCE]
+            has = np.fromiter((w[1:].isalpha() or any(map(str.isalpha, w)) for w in words), bool, len(words))
             arcs, lengths = self.lattice.arcs(words)
-            _, total = forward(arcs, lengths, self.table[arcs[:, 3]])
+            _, total = forward(arcs, lengths, [self.table[p] for _, _, _, p in arcs], self.table.shape[1])
             rows = slice(first + at, first + at + len(words))
             self.rows[rows] = np.log(np.maximum(total, 1e-300)) * has[:, None]
             self.lettered[rows] = has
@@ -195,20 +200,22 @@ def train(labelled: DataFrame, text: str, label: str, vocabulary: str, sample_pe
             total = np.zeros_like(t)
             for b in batches:
                 rows = [x for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-                for at in range(0, len(rows), 2000):
-                    part = rows[at : at + 2000]
+                for at in range(0, len(rows), _AT_ONCE):
+                    part = rows[at : at + _AT_ONCE]
                     lab, n = np.array([r[0] for r in part]), np.array([r[2] for r in part], float)
                     arcs, lengths = lat.arcs([r[1] for r in part])
-                    w = t[arcs[:, 3], lab[arcs[:, 1]]][:, None]
-                    alpha, z = forward(arcs, lengths, w)
+                    w = [t[p, lab[rs]][:, None] for _, _, rs, p in arcs]
+                    alpha, z = forward(arcs, lengths, w, 1)
                     beta = np.zeros_like(alpha)
                     beta[lengths, np.arange(len(part))] = 1
-                    back = np.argsort(-arcs[:, 2], kind="stable")
-                    for chunk in np.split(back, np.flatnonzero(np.diff(arcs[back, 2])) + 1):
-                        a = arcs[chunk]
-                        _add(beta[a[0, 2]], a[:, 1], beta[a[:, 0], a[:, 1]] * w[chunk])
-                    e = alpha[arcs[:, 2], arcs[:, 1], 0] * w[:, 0] * beta[arcs[:, 0], arcs[:, 1], 0] * (n / np.maximum(z[:, 0], 1e-300))[arcs[:, 1]]
-                    np.add.at(total, (arcs[:, 3], lab[arcs[:, 1]]), e)
+                    each, at_piece, share = n / np.maximum(z[:, 0], 1e-300), [], []
+                    for (i, j, rs, p), v in zip(reversed(arcs), reversed(w), strict=True):
+                        on = v * beta[j, rs]
+                        beta[i, rs] += on
+                        at_piece.append(p * t.shape[1] + lab[rs])
+                        share.append(alpha[i, rs, 0] * on[:, 0] * each[rs])
+                    if share:
+                        total += np.bincount(np.concatenate(at_piece), np.concatenate(share), t.size).reshape(t.shape)
             p, k = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(total[p, k])], ["piece", "label", "n"])
 
