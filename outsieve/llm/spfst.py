@@ -56,7 +56,7 @@ class Transducer(dict):
         self.score = {p: sp.get_score(i) for p, i in self.id.items()}
         self.prefixes = {p[:i] for p in self.id for i in range(1, len(p) + 1)}
         self.apart: dict[tuple[str, str], float] = {}
-        self.whole: dict[str, bool] = {}
+        self.last: dict[str, tuple[float, str, str] | None] = {}
         crossing = any(MARK in p.lstrip(MARK) for p in self.id)
         alone = "" if any("\n" in p for p in self.id) else "\n"
         self.cuts = None if crossing else re.compile(f"{alone}|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -84,8 +84,11 @@ class Transducer(dict):
             self[cut] = got
         return got
 
-    def merged(self, text: str) -> list[str]:
-        """Reference merging of a short string: the best-scored pair first, the leftmost of equals."""
+    def merged(self, text: str, last: list | None = None) -> list[str]:
+        """Reference merging of a short string: the best-scored pair first, the leftmost of equals.
+
+        ``last`` receives the score and the parts of every merge, in order.
+        """
         s, score = list(text), self.score
         while len(s) > 1:
             best, at = -_INFINITE, -1
@@ -94,27 +97,61 @@ class Transducer(dict):
                     best, at = v, i
             if at < 0:
                 break
+            if last is not None:
+                last.append((best, s[at], s[at + 1]))
             s[at : at + 2] = [s[at] + s[at + 1]]
         return s
 
+    def last_merge(self, piece: str) -> tuple[float, str, str] | None:
+        """Score and parts of the merge that completes ``piece`` on its own; None if none does."""
+        if piece in self.last:
+            return self.last[piece]
+        made: list = []
+        got = None
+        if self.merged(piece, made) == [piece]:
+            # a char is there from the start; NaN marks pieces that a worse-scored merge precedes
+            got = (_INFINITE, "", "") if not made else made[-1] if made[-1][0] == min(made)[0] else (float("nan"), "", "")
+        self.last[piece] = got
+        return got
+
+    def stays_apart(self, before: str, piece: str) -> bool:
+        """Whether merging ``before + piece`` leaves just these two.
+
+        The merges that made both are undone from the last to the first (the left one goes
+        first of equals); the pair at the seam must never outscore the merge just undone.
+        """
+        a, b, limit, equal = before, piece, -_INFINITE, False
+        score, last_merge = self.score, self.last_merge
+        while True:
+            if (v := score.get(a + b)) is not None and (v > limit or equal and v == limit):
+                return False
+            x, y = last_merge(a), last_merge(b)
+            if x is None or y is None or x[0] != x[0] or y[0] != y[0]:
+                return self.merged(before + piece) == [before, piece]
+            if x[0] == y[0] == _INFINITE:
+                return True
+            if y[0] <= x[0]:
+                limit, equal, b = y[0], True, y[1]
+            else:
+                limit, equal, a = x[0], False, x[2]
+
     def weight(self, before: str, piece: str) -> float:
         """Tropical weight of the arc for ``piece`` from the state whose last piece is ``before``."""
         if self.kind == "unigram":
             return -self.score.get(piece, -1e6)
-        if (ok := self.whole.get(piece)) is None:
-            ok = self.whole[piece] = self.merged(piece) == [piece]
-        if not ok:
-            return _INFINITE
         if not before:
-            return 0.0
+            return _INFINITE if self.last_merge(piece) is None else 0.0
         if (w := self.apart.get((before, piece))) is None:
             if len(self.apart) > 1_000_000:
                 self.apart.clear()
-            w = self.apart[before, piece] = 0.0 if self.merged(before + piece) == [before, piece] else _INFINITE
+            ok = self.last_merge(piece) is not None and self.stays_apart(before, piece)
+            w = self.apart[before, piece] = 0.0 if ok else _INFINITE
         return w
 
     def shortest(self, s: str) -> list[str]:
         """Pieces on the shortest path over ``s``."""
+        if self.kind == "bpe":
+            return self.free_path(s)
         n = len(s)
         cost, last, came = [_INFINITE] * (n + 1), [""] * (n + 1), [0] * (n + 1)
         cost[0] = 0.0
@@ -139,6 +176,35 @@ class Transducer(dict):
             at = came[at]
         return out[::-1]
 
+    def ends(self, s: str, i: int) -> list[int]:
+        """Where the pieces that start at ``i`` end, ascending."""
+        out, ids, prefixes = [i + 1] if i < len(s) else [], self.id, self.prefixes
+        for j in range(i + 2, len(s) + 1):
+            if (p := s[i:j]) not in prefixes:
+                break
+            if p in ids:
+                out.append(j)
+        return out
+
+    def free_path(self, s: str) -> list[str]:
+        """Shortest path where weights are 0 or infinite: depth first, the longest piece first.
+
+        A place has one live state at most, so one that leads nowhere is entered once.
+        """
+        n, weight, dead = len(s), self.weight, set()
+        path, at, ahead = [], [0], [self.ends(s, 0)]
+        while at[-1] < n:
+            i, before, ends = at[-1], path[-1] if path else "", ahead[-1]
+            while ends:
+                j = ends.pop()
+                if j not in dead and weight(before, p := s[i:j]) == 0.0:
+                    path.append(p), at.append(j), ahead.append(self.ends(s, j))
+                    break
+            else:
+                dead.add(i)
+                path.pop(), at.pop(), ahead.pop()
+        return path
+
     def normalise(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
 
