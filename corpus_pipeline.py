@@ -11,15 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outsieve.llm import decontam, langid, linededup, ngramjoin, spfst
-from outsieve.llm.common import read_table, scratch
+from outsieve.llm.common import keyed, read_table, scratch
 
 LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is undetermined, or under even odds, go."""
-    got = langid.identify(docs).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return docs.join(got.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    named, key = keyed(docs, "doc_id", "text")
+    got = langid.identify(named, key=key).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return named.join(got.select(key).distinct(), key, "left_semi").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +29,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of least id stays."""
-    kept = ngramjoin.link(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near duplicates the document of least id stays.
+
+    Rows that repeat an id and its text are one document; one without id goes where its
+    group has a document with one.
+    """
+    named, key = keyed(docs, "doc_id", "text")
+    kept = ngramjoin.link(docs, hashes=True).where("doc_id <=> component_id").select(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).alias(key)).distinct()
+    return named.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

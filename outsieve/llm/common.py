@@ -17,6 +17,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, str]:
+    """``docs`` with a column (and its name) that holds id and text hash: never null, even where both are."""
+    key = fresh(docs, "__key")
+    return docs.withColumn(key, F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"))), key
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; only where it is unset (tests) one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

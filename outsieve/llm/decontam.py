@@ -11,7 +11,8 @@ Items go in blocks whose size is bounded, each block broadcast and met with all
 
 Defined results: null or empty text, and texts shorter than an item's segment less the
 budget, match nothing; items under ``q`` characters after normalising are compared as
-whole normalised texts; null items are skipped; repeated ids give a row each.
+whole normalised texts; null items are skipped; repeated ids give a row each, and
+``clean`` judges each row by its own text, whether ids repeat or are null.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import powers, spread
+from .common import keyed, powers, spread
 
 Q, SEGMENT, STRIDE, BUDGET = 8, 96, 48, 0.08
 BLOCK_CHARS = 4_000_000
@@ -191,7 +192,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark passage."""
-    found = matches(docs, benchmark, id_col, text).select(F.col(id_col).alias("__found")).distinct()
-    return docs.join(found, F.col(id_col) == F.col("__found"), "left_anti")
-
-
+    named, key = keyed(docs, id_col, text)
+    found = matches(named, benchmark, key, text).select(key).distinct()
+    return named.join(found, key, "left_anti").select(*docs.columns)

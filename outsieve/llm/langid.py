@@ -263,8 +263,13 @@ def is_held_out(id_col: str, folds: int = 5):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", vocabulary: str | None = None, sample_per_label: int = 1000, rounds: int = 2, most_labels: int = 500) -> DataFrame:
-    """Learn from rows that aren't held out, then predict every row: (id, held_out, lang_pred, score)."""
+def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", vocabulary: str | None = None, sample_per_label: int = 1000, rounds: int = 2, most_labels: int = 500, key: str | None = None) -> DataFrame:
+    """Learn from rows that aren't held out, then predict every row: (id, held_out, lang_pred, score).
+
+    With ``key``, a column of any type that names rows better than the id: (key, lang_pred, score).
+    """
     vocabulary = vocabulary or default_vocabulary()
     model = train(docs.where(~is_held_out(id_col)), text, label, vocabulary, sample_per_label, rounds, most_labels)
+    if key:
+        return predict(docs, model, key, text, vocabulary)
     return predict(docs, model, id_col, text, vocabulary).select(id_col, F.coalesce(is_held_out(id_col), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -9,6 +9,7 @@ first place (least document id, then position) and goes everywhere else.
 Lines are split at newline and compared after trimming spaces, by a 128-bit hash.
 Defined results: blank lines always stay and have no spread; a null site counts as no
 site; null text stays null with no lines; rows that repeat an id count as one document;
+rows with a null id lose nothing, and a line in one has its first place there;
 text whose lines all go becomes empty. All other columns pass through; text of a changed
 row loses those lines with their newlines, and ``n_chars``, where given, follows it.
 """
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, small_enough
+from .common import fresh, scratch, small_enough
 
 MIN_SITES, MARGIN, LOG_BUCKETS = 8, 0.15, 12
 
@@ -54,17 +55,18 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", site:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, counts: bool = False) -> DataFrame:
-    """``docs`` without boilerplate lines; with ``counts`` also n_lines and n_removed."""
-    gone = removals(docs, id_col, text, site, min_sites)
-    out = docs.join(gone, F.col(id_col) == F.col("__d"), "left")
+    """``docs`` without boilerplate lines; with ``counts`` also n_lines and n_removed, in place of columns so named."""
+    d, g = fresh(docs, "__d"), fresh(docs, "__gone")
+    gone = removals(docs, id_col, text, site, min_sites).select(F.col("__d").alias(d), F.col("__gone").alias(g))
+    out = docs.join(gone, F.col(id_col) == F.col(d), "left")
     parts = F.split(F.col(text), "\n", -1)
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)
+    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col(g), i)), "\n")
+    new = F.when(F.col(g).isNull(), F.col(text)).otherwise(left)
     more = {}
     if counts:
-        more = {"n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}
+        more = {"n_lines": F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long"), "n_removed": F.coalesce(F.size(g), F.lit(0)).cast("long")}
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(g).isNull(), F.col("n_chars")).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType)))
     if counts:
         out = out.withColumns(more)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType)))
-    return out.withColumn(text, new).select(*docs.columns, *more)
+    return out.withColumn(text, new).select(*[c for c in docs.columns if c not in more], *more)

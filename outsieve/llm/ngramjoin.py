@@ -18,7 +18,8 @@ shingles. Nothing is approximate:
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer
 than five words has its whole word sequence as its one shingle; null, empty or blank
-text has no shingle and links with nothing; repeated ids keep a row each.
+text has no shingle and links with nothing; repeated ids keep a row each; a null id
+is the least only where a class has no other.
 """
 
 from __future__ import annotations
@@ -236,8 +237,8 @@ def _bounded_pairs(pairs: DataFrame, size: DataFrame, bits: DataFrame, percent:
     return pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_may_link(percent), "a long, b long")
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id): size of the set, least id reachable by links."""
+def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT, hashes: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id[, text_hash]): size of the set, least id reachable by links."""
     sig = scratch(signatures(docs, id_col, text, k, percent))
     own = sig.select(F.col(id_col).alias("__id"), "n_shingles", "set_id", "text_hash")
     sets = scratch(own.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("__id", "text_hash")).alias("r"), F.first("n_shingles").alias("n")).select("set_id", F.col("r.__id").alias("rep"), F.col("r.text_hash").alias("text_hash"), "n"))
@@ -280,4 +281,4 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = W
     least = named.groupBy("cls").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "cls").select("set_id", "component_id")
     out = own.join(named, "set_id", "left")
-    return out.select(F.col("__id").alias(id_col), "n_shingles", F.coalesce("component_id", "__id").alias("component_id"))
+    return out.select(F.col("__id").alias(id_col), "n_shingles", F.coalesce("component_id", "__id").alias("component_id"), *["text_hash"] * hashes)

@@ -11,7 +11,8 @@ whether its check digit holds. The entity's surrogate is the same everywhere
 surrogate move to the next attempt until all are distinct.
 
 Defined results: null text stays null, text without entities is untouched; rows that
-repeat an id are each rewritten; other columns pass through. At most about 2^27 distinct
+repeat an id or have none are each rewritten; other columns pass through, but for one
+named n_entities where ``counts`` asks for it. At most about 2^27 distinct
 IPv4 addresses have room; the loop raises after 40 attempts rather than repeat one.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, small_enough
+from .common import fresh, keyed, scratch, small_enough
 
 _NAME = r"\p{Lu}[\p{Ll}'-]{1,30}"
 #: Type and pattern, in order; no capturing groups, bounded repeats only.
@@ -172,19 +173,22 @@ def _dressed(kind: Column, match: Column, fixed: Column, sur: Column) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` with every entity replaced; with ``counts`` also n_entities."""
+    columns = [c for c in docs.columns if not (counts and c == "n_entities")]
+    docs, key_col = keyed(docs.select(*columns), id_col, text)
     hit = docs.where(F.col(text).rlike(ALL))
     plain = docs.where(~F.coalesce(F.col(text).rlike(ALL), F.lit(False)))
-    found = scratch(hit.select(F.col(id_col).alias("__d"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(ALL), 0))).alias("__m")))
+    found = scratch(hit.select(F.col(key_col).alias("__d"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(ALL), 0))).alias("__m")))
     kinds = found.select("__m").distinct().withColumn("__kind", F.coalesce(kind_of(F.col("__m")), F.lit("other")))
     kinds = scratch(kinds.withColumn("__canon", canonical(F.col("__kind"), F.col("__m"))))
     drawn = assign(scratch(kinds.select("__kind", "__canon").distinct()), key)
     kind, m = F.col("__kind"), F.col("__m")
     table = scratch(kinds.join(drawn, ["__kind", "__canon"]).select("__m", _dressed(kind, m, fixed_part(kind, m), F.col("sur")).alias("__r")))
     maps = found.join(F.broadcast(table) if small_enough(table, 200_000) else table, "__m").groupBy("__d").agg(F.map_from_entries(F.collect_set(F.struct("__m", "__r"))).alias("__map"))
-    joined = hit.join(maps, hit[id_col] == maps["__d"])
+    by = fresh(docs, "__map")
+    maps = maps.select(F.col("__d").alias(key_col), F.col("__map").alias(by))
+    joined = hit.join(maps, key_col)
     got = F.regexp_extract_all(F.col(text), F.lit(ALL), 0)
-    new = F.array_join(F.zip_with(F.split(F.col(text), ALL, -1), F.concat(F.transform(got, lambda x: F.element_at(F.col("__map"), x)), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    out = joined.withColumns({"__new": new, "n_entities": F.size(got).cast("long")} if counts else {"__new": new})
-    columns = [F.col("__new").alias(c) if c == text else F.col(c) for c in docs.columns]
-    more = ["n_entities"] if counts else []
-    return out.select(*columns, *more).unionByName(plain.withColumn("n_entities", F.lit(0).cast("long")) if counts else plain)
+    new = F.array_join(F.zip_with(F.split(F.col(text), ALL, -1), F.concat(F.transform(got, lambda x: F.element_at(F.col(by), x)), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    more = lambda n: [n.cast("long").alias("n_entities")] if counts else []
+    out = joined.select(*[new.alias(c) if c == text else F.col(c) for c in columns], *more(F.size(got)))
+    return out.unionByName(plain.select(*columns, *more(F.lit(0))))
