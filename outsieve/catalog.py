@@ -39,10 +39,6 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-
-
 def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     case = SEEDED.split("SELECT ")[1].rsplit(" FROM ")[0]
     return _docs(spark, sf_dir).selectExpr(*[x.strip() for x in _columns(case)])
@@ -71,7 +67,7 @@ def _only(policy: Policy, *ids: str) -> Policy:
 
 def _spans(pattern: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        got = _ascii(spark, sf_dir).select("doc_id", F.posexplode(X.spans(F.col("text"), pattern)).alias("ordinal", "s"))
+        got = _docs(spark, sf_dir).select("doc_id", F.posexplode(X.spans(F.col("text"), pattern)).alias("ordinal", "s"))
         return got.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("s.value").alias("value"))
 
     return query
@@ -80,7 +76,7 @@ def _spans(pattern: str):
 def _spans_sql(pattern: str) -> str:
     return f"""SELECT doc_id, CAST(i - 1 AS BIGINT) AS ordinal, m[i] AS value FROM (
       SELECT doc_id, m, unnest(range(1, len(m) + 1)) AS i FROM (
-        SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')))"""
+        SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m FROM documents))"""
 
 
 def _seeded_findings(*ids: str):
@@ -96,8 +92,8 @@ def _found_sql(rule: str, pattern: str, put: str) -> str:
       FROM (SELECT doc_id, response, unnest(regexp_extract_all(response, '{pattern}')) AS value FROM ({SEEDED}))"""
 
 
-def norm_obfuscation_ascii(spark, sf_dir):
-    return _ascii(spark, sf_dir).select("doc_id", F.md5(X.expand_obfuscation(F.col("text"))).alias("text_md5"))
+def norm_obfuscation(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(X.expand_obfuscation(F.col("text"))).alias("text_md5"))
 
 
 def norm_entity_count(spark, sf_dir):
@@ -115,8 +111,7 @@ def url_hostname(spark, sf_dir):
 
 
 def exfil_entropy(spark, sf_dir):
-    df = _seeded(spark, sf_dir).where("doc_id % 10 = 0")
-    return df.select("doc_id", F.round(X.entropy(F.col("response")), 6).alias("bits"))
+    return _seeded(spark, sf_dir).select("doc_id", F.round(X.entropy(F.col("response")), 6).alias("bits"))
 
 
 def inspect_seeded(spark, sf_dir):
@@ -206,7 +201,7 @@ QUERIES = {
     "cmd_rm_seeded": _seeded_findings("CMD-RM-RF"),
     "url_shortener_seeded": _seeded_findings("URL-SHORTENER"),
     "url_executable_seeded": _seeded_findings("URL-EXECUTABLE"),
-    **{f.__name__: f for f in (norm_obfuscation_ascii, norm_entity_count, norm_plain_steps, url_hostname, exfil_entropy, inspect_seeded, redact_seeded, seg_counts, top10_rules, hits_by_severity, allowlist_antijoin, hits_per_hour, rate_1m, context_pct, latency_quantile_bucketed, latency_percentile, label_scores, golden_diff)},
+    **{f.__name__: f for f in (norm_obfuscation, norm_entity_count, norm_plain_steps, url_hostname, exfil_entropy, inspect_seeded, redact_seeded, seg_counts, top10_rules, hits_by_severity, allowlist_antijoin, hits_per_hour, rate_1m, context_pct, latency_quantile_bucketed, latency_percentile, label_scores, golden_diff)},
 }
 
 _CASE = lambda i, other: "CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN {v[i]!r}" for k, v in _EXPECTED.items()) + f" ELSE {other} END"
@@ -226,13 +221,13 @@ ORACLE_SQL = {
     "cmd_rm_seeded": _found_sql("CMD-RM-RF", r"rm -rf /[^ ]*", "'[command-blocked]'"),
     "url_shortener_seeded": _found_sql("URL-SHORTENER", r"https://bit\.ly/[^ ]+", "'[redacted-url]'"),
     "url_executable_seeded": _found_sql("URL-EXECUTABLE", r"https://[^ ]+?\.exe", "'[redacted-url]'"),
-    "norm_obfuscation_ascii": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\[at\]|\(at\)|\{at\}|\bat\b', '@', 'g'), '(?i)\[dot\]|\(dot\)|\{dot\}|\bdot\b', '.', 'g'), '\s*@\s*', '@', 'g'), '\s*\.\s*', '.', 'g')) AS text_md5
-      FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')""",
+    "norm_obfuscation": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\[at\]|\(at\)|\{at\}|\bat\b', '@', 'g'), '(?i)\[dot\]|\(dot\)|\{dot\}|\bdot\b', '.', 'g'), '\s*@\s*', '@', 'g'), '\s*\.\s*', '.', 'g')) AS text_md5
+      FROM documents""",
     "norm_entity_count": f"SELECT page_id, len(regexp_extract_all(html, '{X.ENTITY}')) AS entities FROM pages",
     "norm_plain_steps": "SELECT doc_id, md5(replace(translate(text || chr(13) || chr(10) || chr(8203) || ' end', '" + X.ZERO_WIDTH + "', ''), chr(13) || chr(10), chr(10))) AS text_md5 FROM documents",
     "url_hostname": f"SELECT doc_id, lower(split_part(split_part(split_part(url, '://', 2), '/', 1), ':', 1)) AS host FROM (SELECT doc_id, regexp_extract(response, 'https?://[^ )`]+') AS url FROM ({SEEDED})) WHERE url <> ''",
     "exfil_entropy": f"""SELECT doc_id, round(-sum(p * log2(p)), 6) AS bits FROM (SELECT doc_id, count(*) / max(n) AS p FROM (
-      SELECT doc_id, length(response) AS n, unnest(string_split(response, '')) AS c FROM ({SEEDED}) WHERE doc_id % 10 = 0) GROUP BY doc_id, c) GROUP BY doc_id""",
+      SELECT doc_id, length(response) AS n, unnest(string_split(response, '')) AS c FROM ({SEEDED})) GROUP BY doc_id, c) GROUP BY doc_id""",
     "inspect_seeded": f"SELECT doc_id, {_CASE(0, chr(39) * 2)} AS rules, {_CASE(1, 'false')} AS blocked, {_CASE(2, 0)} AS risk_score FROM documents",
     "redact_seeded": f"""SELECT doc_id, CASE doc_id % 12 WHEN 2 THEN 'write to u***' || right('user' || doc_id, 1) || '@mail.test please' WHEN 3 THEN 'host [ip-redacted] is down'
       WHEN 10 THEN 'mail support@company.com or ' || CASE WHEN doc_id < 10 THEN 'a*' ELSE 'a***' || right('' || doc_id, 1) END || '@b.test' ELSE response END AS output FROM ({SEEDED})""",
