@@ -18,9 +18,7 @@ LEAST_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is undetermined, or under even odds, go."""
-    named, key = keyed(docs, "doc_id", "text")
-    got = langid.identify(named, key=key).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return named.join(got.select(key).distinct(), key, "left_semi").select(*docs.columns)
+    return langid.keep(docs, LEAST_SCORE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,20 @@ def keyed(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, str]:
     return docs.withColumn(key, F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"))), key
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def sole_cache(owner: str, drop: Callable[[], None] | None = None) -> None:
+    """Called in a Python worker when a task of ``owner`` starts: what other operators cached there goes.
+
+    Workers are reused from stage to stage; so one holds the largest cache, not all of them.
+    """
+    for other in [k for k in _CACHES if k != owner]:
+        _CACHES.pop(other)()
+    if drop:
+        _CACHES[owner] = drop
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; only where it is unset (tests) one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

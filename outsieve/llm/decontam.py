@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, powers, spread
+from .common import powers, sole_cache, spread
 
 Q, SEGMENT, STRIDE, BUDGET = 8, 96, 48, 0.08
 BLOCK_CHARS = 4_000_000
@@ -178,6 +178,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
         shared = docs.sparkSession.sparkContext.broadcast(Index(block))
 
         def run(batches, shared=shared):
+            sole_cache("decontam")
             index = shared.value
             for b in batches:
                 ids, texts = b.column(0), b.column(1).to_pylist()
@@ -190,8 +191,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark passage."""
-    named, key = keyed(docs, id_col, text)
-    found = matches(named, benchmark, key, text).select(key).distinct()
-    return named.join(found, key, "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark passage: a pass for each block of items, no shuffle."""
+    at, out = docs.columns.index(text), spread(docs)
+    for block in blocks(benchmark, item_id, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(Index(block))
+
+        def run(batches, shared=shared):
+            sole_cache("decontam")
+            index = shared.value
+            for b in batches:
+                yield b.filter(pa.array([not (t and index.find(t)) for t in b.column(at).to_pylist()], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

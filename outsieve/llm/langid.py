@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, spread
+from .common import scratch, sole_cache, spread
 
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -229,6 +229,25 @@ def train(labelled: DataFrame, text: str, label: str, vocabulary: str, sample_pe
     return labels, table
 
 
+def judge(texts: pa.Array, labels: list[str], key: str, vocabulary: str, table: np.ndarray) -> tuple[list[str], list[float]]:
+    """The likeliest language of each text and its posterior under equal priors."""
+    best, score = [], []
+    for at in range(0, len(texts), 256):
+        cache = _scores(key, vocabulary, table)
+        rows = [np.fromiter(map(cache.__getitem__, ws), np.int64, len(ws)) if t and (ws := pre_tokens(t)) else None for t in texts.slice(at, 256).to_pylist()]
+        cache.flush()
+        for r in rows:
+            if r is None or not labels or not cache.lettered[r].any():
+                best.append(UNDETERMINED)
+                score.append(0.0)
+                continue
+            total = cache.rows[r].sum(0)
+            k = int(np.argmax(total))
+            best.append(labels[k])
+            score.append(float(1 / np.exp(total - total[k]).sum()))
+    return best, score
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str, text: str, vocabulary: str) -> DataFrame:
     """(id, lang_pred, score): the likeliest language and its posterior under equal priors."""
     labels, table = model
@@ -236,23 +255,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str, t
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
-        cache = _scores(key, vocabulary, shared.value)
+        sole_cache("langid", _CACHED.clear)
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            best, score = [], []
-            for at in range(0, len(texts), 256):
-                cache = _scores(key, vocabulary, shared.value)
-                rows = [np.fromiter(map(cache.__getitem__, ws), np.int64, len(ws)) if t and (ws := pre_tokens(t)) else None for t in texts[at : at + 256]]
-                cache.flush()
-                for r in rows:
-                    if r is None or not labels or not cache.lettered[r].any():
-                        best.append(UNDETERMINED)
-                        score.append(0.0)
-                        continue
-                    total = cache.rows[r].sum(0)
-                    k = int(np.argmax(total))
-                    best.append(labels[k])
-                    score.append(float(1 / np.exp(total - total[k]).sum()))
+            ids, (best, score) = b.column(0), judge(b.column(1), labels, key, vocabulary, shared.value)
             yield pa.RecordBatch.from_arrays([ids, pa.array(best, pa.string()), pa.array(score, pa.float64())], [id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -263,13 +268,24 @@ def is_held_out(id_col: str, folds: int = 5):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", vocabulary: str | None = None, sample_per_label: int = 1000, rounds: int = 2, most_labels: int = 500, key: str | None = None) -> DataFrame:
-    """Learn from rows that aren't held out, then predict every row: (id, held_out, lang_pred, score).
+def keep(docs: DataFrame, least_score: float, id_col: str = "doc_id", text: str = "text", label: str = "lang", vocabulary: str | None = None, sample_per_label: int = 1000, rounds: int = 2, most_labels: int = 500) -> DataFrame:
+    """``docs`` without rows whose language is undetermined or scores less: learns as ``identify`` does, then one pass, no shuffle."""
+    vocabulary = vocabulary or default_vocabulary()
+    labels, table = train(docs.where(~is_held_out(id_col)), text, label, vocabulary, sample_per_label, rounds, most_labels)
+    key, at = uuid.uuid4().hex, docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    With ``key``, a column of any type that names rows better than the id: (key, lang_pred, score).
-    """
+    def run(batches):
+        sole_cache("langid", _CACHED.clear)
+        for b in batches:
+            best, score = judge(b.column(at), labels, key, vocabulary, shared.value)
+            yield b.filter(pa.array([x != UNDETERMINED and s >= least_score for x, s in zip(best, score, strict=True)], pa.bool_()))
+
+    return spread(docs).mapInArrow(run, docs.schema)
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", vocabulary: str | None = None, sample_per_label: int = 1000, rounds: int = 2, most_labels: int = 500) -> DataFrame:
+    """Learn from rows that aren't held out, then predict every row: (id, held_out, lang_pred, score)."""
     vocabulary = vocabulary or default_vocabulary()
     model = train(docs.where(~is_held_out(id_col)), text, label, vocabulary, sample_per_label, rounds, most_labels)
-    if key:
-        return predict(docs, model, key, text, vocabulary)
     return predict(docs, model, id_col, text, vocabulary).select(id_col, F.coalesce(is_held_out(id_col), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, grams, mix, scratch, semi, small_enough, spread, with_component, word_hashes
+from .common import components, grams, mix, scratch, semi, small_enough, sole_cache, spread, with_component, word_hashes
 
 WORDS, PERCENT = 5, 75
 BLOCK, FEW = 256, 16
@@ -103,6 +103,7 @@ def signatures(docs: DataFrame, id_col: str, text: str, k: int, percent: int) ->
     shared = docs.sparkSession.sparkContext.broadcast(_sample_frequent(docs, text, k))
 
     def run(batches):
+        sole_cache("ngramjoin")
         known, count = shared.value
         for b in batches:
             ids, hashes, texts = b.column(0), b.column(1), b.column(2).to_pylist()

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import spread
+from .common import sole_cache, spread
 from .langid import default_vocabulary
 
 MARK = "▁"
@@ -229,6 +229,7 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text: str = "text", v
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batches):
+        sole_cache("spfst", Transducer._open.clear)
         t = Transducer.of(vocabulary, kind)
         for b in batches:
             keys, texts = b.column(0), b.column(1).to_pylist()

@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import spread
+from .common import sole_cache, spread
 
 Edit = tuple[int, int, str]
 
@@ -168,6 +168,7 @@ def count(docs: DataFrame, id_col: str = "doc_id", text: str = "text", edits=sam
     given = isinstance(edits, str)
 
     def run(batches):
+        sole_cache("tokencount", Counter._open.clear)
         counter = Counter.of(ranks)
         for b in batches:
             keys, values = b.column(0), b.column(1).to_pylist()
