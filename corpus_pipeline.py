@@ -33,8 +33,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     group has a document with one.
     """
     named, key = keyed(docs, "doc_id", "text")
-    kept = ngramjoin.link(docs, hashes=True).where("doc_id <=> component_id").select(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).alias(key)).distinct()
-    return named.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    kept = ngramjoin.link(docs, hashes=True).where("doc_id <=> component_id")
+    kept = scratch(kept.groupBy(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).alias(key)).agg(F.count("*").alias("n")))
+    out = named.join(kept.where("n = 1").select(key), key, "left_semi")
+    again = kept.where("n > 1").select(key)
+    if not again.isEmpty():  # only rows that occur again are shuffled for one of each to stay
+        out = out.unionByName(named.join(again, key, "left_semi").dropDuplicates([key]))
+    return out.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

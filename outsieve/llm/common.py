@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,13 @@ def keyed(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, str]:
     return docs.withColumn(key, F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"))), key
 
 
+def thin(batches, rows: int = 512):
+    """Arrow batches cut to at most ``rows`` rows, so that few texts are Python strings at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 _CACHES: dict[str, Callable[[], None]] = {}
 
 
@@ -40,6 +48,7 @@ def sole_cache(owner: str, drop: Callable[[], None] | None = None) -> None:
 
     Workers are reused from stage to stage; so one holds the largest cache, not all of them.
     """
+    pa.default_memory_pool().release_unused()
     for other in [k for k in _CACHES if k != owner]:
         _CACHES.pop(other)()
     if drop:

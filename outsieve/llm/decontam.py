@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import powers, sole_cache, spread
+from .common import powers, sole_cache, spread, thin
 
 Q, SEGMENT, STRIDE, BUDGET = 8, 96, 48, 0.08
 BLOCK_CHARS = 4_000_000
@@ -200,7 +200,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
         def run(batches, shared=shared):
             sole_cache("decontam")
             index = shared.value
-            for b in batches:
+            for b in thin(batches):
                 yield b.filter(pa.array([not (t and index.find(t)) for t in b.column(at).to_pylist()], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)

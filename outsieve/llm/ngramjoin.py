@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, grams, mix, scratch, semi, small_enough, sole_cache, spread, with_component, word_hashes
+from .common import components, grams, mix, scratch, semi, small_enough, sole_cache, spread, thin, with_component, word_hashes
 
 WORDS, PERCENT = 5, 75
 BLOCK, FEW = 256, 16
@@ -105,7 +105,7 @@ def signatures(docs: DataFrame, id_col: str, text: str, k: int, percent: int) ->
     def run(batches):
         sole_cache("ngramjoin")
         known, count = shared.value
-        for b in batches:
+        for b in thin(batches):
             ids, hashes, texts = b.column(0), b.column(1), b.column(2).to_pylist()
             for at in range(0, len(texts), 500):
                 n, key, prefix, bits = [], [], [], []
@@ -156,7 +156,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, tex
     texts = scratch(texts.dropDuplicates(["a"]).select("a", "t"))
 
     def run(batches):
-        for b in batches:
+        for b in thin(batches):
             out: tuple[list, list] = ([], [])
             held, last = None, None
             for x, y, s, t in zip(*(c.to_pylist() for c in b.columns), strict=True):

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import sole_cache, spread
+from .common import sole_cache, spread, thin
 from .langid import default_vocabulary
 
 MARK = "▁"
@@ -231,7 +231,7 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text: str = "text", v
     def run(batches):
         sole_cache("spfst", Transducer._open.clear)
         t = Transducer.of(vocabulary, kind)
-        for b in batches:
+        for b in thin(batches):
             keys, texts = b.column(0), b.column(1).to_pylist()
             for at in range(0, len(texts), 500):
                 part = texts[at : at + 500]
