@@ -117,6 +117,16 @@ def test_op7_finds_shared_passages_only(spark):
     assert [(r.doc_id, r.src_doc_id, r.start, r.end, r.src_start, r.src_end) for r in got] == [(2, 1, 30, 110, 60, 140)] and got[0].matched == 79
 
 
+@pytest.mark.parametrize("apart", [100, 500])
+def test_op7_finds_a_second_passage_of_the_same_pair(spark, apart):
+    rnd = random.Random(apart)
+    one, two = words(rnd, 96), words(rnd, 84)
+    rows = [(1, one + words(rnd, apart) + two), (2, words(rnd, 10) + one + words(rnd, apart + 50) + two)]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = sorted((r.start, r.end, r.src_start, r.src_end) for r in chaining.passages(d).collect())
+    assert got == [(10, 106, 0, 96), (156 + apart, 240 + apart, 96 + apart, 180 + apart)]
+
+
 def test_op8_equals_the_library():
     import sentencepiece
 
