@@ -1,10 +1,11 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
-Trees split recursively at the median of a random projection; a band around each cut
-goes to both sides (spill). Vectors are compared within leaves, in double precision,
-and links found in several leaves count once: a pair counts in the least leaf that both
+Trees split recursively near the median of a random projection, where few linked pairs
+are parted; a band around each cut goes to both sides (spill), and a node in which every
+cut parts many stays whole. All vectors of a leaf are compared, in double precision, and
+links found in several leaves count once: a pair counts in the least leaf that both
 share. Trees are fit on a sample of at most ``sample`` distinct vectors; every vector is
-indexed. A leaf beyond ``most_leaf`` rows is split further inside its task the same way.
+indexed. A leaf beyond ``most_leaf`` rows is compared in pairs of parts, a task each.
 
 Identical vectors are one class from the start, so a very common vector costs one row.
 
@@ -24,18 +25,34 @@ from pyspark.sql import functions as F
 from .common import components, scratch, with_component
 
 SPILL = 0.05
+#: Share of the linked pairs of a node that a cut may part.
+MOST_PARTED = 0.1
 
 
-def fit_tree(x: np.ndarray, depth: int, rng: np.random.Generator, least: int = 16) -> list:
-    """A node is [direction, low, cut, high, left, right]; a leaf is None."""
-    if depth == 0 or len(x) < 2 * least:
+def fit_tree(x: np.ndarray, depth: int, rng: np.random.Generator, threshold: float, least: float = 16) -> list:
+    """A node is [direction, low, cut, high, left, right]; a leaf is None. Stops at ``least`` rows of the sample.
+
+    Where vectors of the node are linked, the cut of several that parts the fewest of them
+    is taken; where it still parts over MOST_PARTED of many, the node stays whole.
+    """
+    if depth == 0 or len(x) < 2 * max(least, 16):
         return None
-    d = rng.standard_normal(x.shape[1])
-    p = x @ d
-    low, cut, high = np.quantile(p, [0.5 - SPILL, 0.5, 0.5 + SPILL])
-    if not low < high:
+    some = x[rng.permutation(len(x))[:512]]
+    i, j = np.nonzero(np.triu(some @ some.T >= threshold, 1))
+    best = None
+    for _ in range(4 if len(i) else 1):
+        d = rng.standard_normal(x.shape[1])
+        p, q = x @ d, some @ d
+        u, v = np.minimum(q[i], q[j]), np.maximum(q[i], q[j])
+        for at in (0.5, 0.4, 0.6, 0.3, 0.7) if len(i) else (0.5,):
+            low, cut, high = np.quantile(p, [at - SPILL, at, at + SPILL])
+            parted = int(((u < low) & (v > high)).sum())
+            if low < high and (best is None or parted < best[0]):
+                best = (parted, d, low, cut, high, p)
+    if best is None or (best[0] > MOST_PARTED * len(i) and len(i) >= 32):
         return None
-    return [d, low, cut, high, fit_tree(x[p <= high], depth - 1, rng, least), fit_tree(x[p >= low], depth - 1, rng, least)]
+    _, d, low, cut, high, p = best
+    return [d, low, cut, high, fit_tree(x[p <= high], depth - 1, rng, threshold, least), fit_tree(x[p >= low], depth - 1, rng, threshold, least)]
 
 
 def leaves_of(tree: list, x: np.ndarray) -> list[list[int]]:
@@ -74,57 +91,45 @@ def _padded(lists: list, dtype=np.int32) -> np.ndarray:
     return out
 
 
-def _find(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list]:
+    """Roots after the pairs are joined (the least row of each tree), and the pairs that joined two trees."""
+    edges = []
+    while len(a):
+        p, q = root[a], root[b]
+        apart = p != q
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        high, first = np.unique(np.maximum(p, q), return_index=True)
+        root[high] = np.minimum(p, q)[first]
+        edges += zip(a[first].tolist(), b[first].tolist(), strict=True)
+        while (root[root] != root).any():
+            root = root[root]
+    return root, edges
+
 
+def compare_leaf(ids, weights, x, shared, leaf, threshold, side) -> tuple[np.ndarray, list]:
+    """Links of each row that count in this leaf, weighted by class, and a spanning forest.
 
-def compare_leaf(ids, weights, x, shared, leaf, threshold, most_leaf, seed) -> tuple[np.ndarray, list]:
-    """Links of each row that count in this leaf, weighted by class, and a spanning forest."""
+    Every pair is compared; with rows on two sides, those across.
+    """
     n = len(ids)
-    links, parent, edges = np.zeros(n, dtype=np.int64), np.arange(n), []
-    if n <= most_leaf:
-        parts = [np.arange(n)]
-        local = None
-    else:
-        rng = np.random.default_rng(seed)
-        depth = int(np.ceil(np.log2(n / most_leaf))) + 1
-        trees = [fit_tree(x, depth, rng) for _ in range(4)]
-        local, base, parts = [[] for _ in range(n)], 0, []
-        for t in trees:
-            got = leaves_of(t, x)
-            k = count_leaves(t)
-            rows: list[list[int]] = [[] for _ in range(k)]
-            for r, ls in enumerate(got):
-                for v in ls:
-                    rows[v].append(r)
-                    local[r].append(base + v)
-            parts += [np.array(r, dtype=np.int64) for r in rows]
-            base += k
-        local = _padded(local)
-    for number, part in enumerate(parts):
-        for at in range(0, len(part), 1024):
-            left = part[at : at + 1024]
-            for to in range(at, len(part), 1024):
-                right = part[to : to + 1024]
-                i, j = np.nonzero(x[left] @ x[right].T >= threshold)
-                i, j = left[i], right[j]
-                keep = i < j if to == at else np.ones(len(i), dtype=bool)
-                i, j = i[keep], j[keep]
-                for s in range(0, len(i), 200_000):
-                    a, b = i[s : s + 200_000], j[s : s + 200_000]
-                    ok = _first_shared(shared[a], shared[b]) == leaf
-                    if local is not None:
-                        ok &= _first_shared(local[a], local[b]) == number
-                    a, b = a[ok], b[ok]
-                    links += np.bincount(a, weights[b], n).astype(np.int64) + np.bincount(b, weights[a], n).astype(np.int64)
-                    for u, v in zip(a.tolist(), b.tolist(), strict=True):
-                        p, q = _find(parent, u), _find(parent, v)
-                        if p != q:
-                            parent[q] = p
-                            edges.append((ids[u], ids[v]))
+    links, root, edges = np.zeros(n, dtype=np.int64), np.arange(n), []
+    one, two = np.flatnonzero(~side), np.flatnonzero(side)
+    across = len(two) > 0
+    for at in range(0, len(one), 1024):
+        left, others = one[at : at + 1024], two if across else one
+        for to in range(0 if across else at, len(others), 1024):
+            right = others[to : to + 1024]
+            i, j = np.nonzero(x[left] @ x[right].T >= threshold)
+            i, j = left[i], right[j]
+            keep = np.ones(len(i), dtype=bool) if across or to > at else i < j
+            i, j = i[keep], j[keep]
+            for s in range(0, len(i), 200_000):
+                a, b = i[s : s + 200_000], j[s : s + 200_000]
+                ok = _first_shared(shared[a], shared[b]) == leaf
+                a, b = a[ok], b[ok]
+                links += np.bincount(a, weights[b], n).astype(np.int64) + np.bincount(b, weights[a], n).astype(np.int64)
+                root, new = _joined(root, a, b)
+                edges += [(ids[u], ids[v]) for u, v in new]
     return links, edges
 
 
@@ -151,7 +156,9 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embedding", thr
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         rng = np.random.default_rng(seed + size)
         here = n * len(vs) / max(1, len(picked))
-        forest[size] = [fit_tree(x, max(0, int(np.ceil(np.log2(max(1, here / leaf_rows))))), rng) for _ in range(trees)]
+        depth = max(0, int(np.ceil(np.log2(max(1, here / leaf_rows)))))
+        # cuts off the middle need more levels; only half a leaf's rows end a branch early
+        forest[size] = [fit_tree(x, 2 * depth, rng, threshold, leaf_rows * len(vs) / here / 2) for _ in range(trees)]
     shared = spark.sparkContext.broadcast(forest)
 
     def place(frames):
@@ -171,17 +178,26 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embedding", thr
     placed = classes.select("rep", "m", "v").repartition(spark.sparkContext.defaultParallelism).mapInPandas(place, "rep long, m long, v array<double>, leaves array<int>")
     placed = placed.select("rep", "m", "v", "leaves", F.size("v").alias("size"), F.explode("leaves").alias("leaf"))
 
+    # a leaf beyond most_leaf rows is dealt to tasks as pairs of parts (i, j)
+    large = placed.groupBy("size", "leaf").agg(F.ceil(F.count("*") / most_leaf).cast("int").alias("parts")).where("parts > 1")
+    placed = placed.join(F.broadcast(large), ["size", "leaf"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.expr("cast(pmod(xxhash64(rep, leaf), parts) as int)"))
+    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("rep", "m", "v", "leaves", "size", "leaf", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).alias("side"))
+
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = pdf["side"].to_numpy(dtype=bool)
+        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": pd.array([], dtype="Int64"), "n": np.zeros(0, np.int64)})
+        if pdf["i"].iloc[0] != pdf["j"].iloc[0] and side.all() | (~side).all():
+            return none
         x = np.array(pdf["v"].tolist(), dtype=np.float64)
         x /= np.abs(x).max(1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         ids, leaf = pdf["rep"].to_numpy(), int(pdf["leaf"].iloc[0])
-        links, edges = compare_leaf(ids, pdf["m"].to_numpy(), x, _padded(list(pdf["leaves"])), leaf, threshold, most_leaf, seed + leaf)
+        links, edges = compare_leaf(ids, pdf["m"].to_numpy(), x, _padded(list(pdf["leaves"])), leaf, threshold, side)
         hit = np.flatnonzero(links)
         a = [*ids[hit], *(e[0] for e in edges)]
         return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": pd.array([None] * len(hit) + [e[1] for e in edges], dtype="Int64"), "n": np.array([*links[hit], *[0] * len(edges)], dtype=np.int64)})
 
-    found = scratch(placed.groupBy("size", "leaf").applyInPandas(compare, "a long, b long, n long"))
+    found = scratch(placed.groupBy("size", "leaf", "i", "j").applyInPandas(compare, "a long, b long, n long"))
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("__n"))
     comps = components(found.where("b is not null").select("a", "b"))
     out = with_component(of_class.join(links, "rep", "left"), comps, "rep", "__c")

@@ -77,6 +77,19 @@ def test_op4_equals_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (200, 201, 202, 203))
 
 
+def test_op4_finds_the_links_of_a_dense_group(spark):
+    rng = np.random.default_rng(2)
+    near = rng.standard_normal(64) + 0.14 * rng.standard_normal((2000, 64))
+    x = np.concatenate([near, rng.standard_normal((4000, 64))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = int((u @ u.T >= 0.95).sum()) - len(x)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for most_leaf in (4096, 700):
+        got = {r.vec_id: r for r in vecdedup.link(d, leaf_rows=128, most_leaf=most_leaf).collect()}
+        assert 0.9 * true <= sum(r.n_links for r in got.values()) <= true
+        assert {got[i].component_id for i in range(2000)} == {0} and all(got[i].kept for i in range(2000, 6000))
+
+
 def test_op5_is_consistent_and_distinct(spark):
     text = "Mail Ann.B@mail5.example.com or ann.b@mail5.example.com, +1 (743) 555-3824 and +1 743-555-3824, 42.144.35.254; Mrs. Jane Smith, Mr. John Smith"
     rows = [(1, text), (2, None), (3, "clean 3.5 text"), (4, "ip 42.144.35.254")]
