@@ -140,6 +140,15 @@ def test_op7_finds_a_second_passage_of_the_same_pair(spark, apart):
     assert got == [(10, 106, 0, 96), (156 + apart, 240 + apart, 96 + apart, 180 + apart)]
 
 
+def test_op7_finds_a_passage_whose_parts_occur_earlier(spark):
+    rnd = random.Random(8)
+    for size, n in ((30, 2), (20, 3)):
+        parts = [words(rnd, size) for _ in range(n)]
+        rows = [words(rnd, 20) + p + words(rnd, 20) for p in parts] + [words(rnd, k) + sum(parts, []) + words(rnd, 20) for k in (15, 25)]
+        d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+        assert [(r.doc_id, r.src_doc_id, r.start, r.end) for r in chaining.passages(d).collect()] == [(n + 1, n, 25, 85)]
+
+
 def test_op8_equals_the_library():
     import sentencepiece
 
