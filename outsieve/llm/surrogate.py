@@ -8,7 +8,8 @@ format: digits stay digits, letters keep case and script, punctuation stays, cou
 codes, titles and prefixes stay, a person keeps the gender the title shows, a card keeps
 whether its check digit holds. The entity's surrogate is the same everywhere
 (coreference). Collision checks: surrogates that equal a real entity or another's
-surrogate move to the next attempt until all are distinct.
+surrogate move to the next attempt until all are distinct. A phone's surrogate holds the
+country code that some occurrence of it shows, so what is compared is what is written.
 
 Defined results: null text stays null, text without entities is untouched; rows that
 repeat an id or have none are each rewritten; other columns pass through, but for one
@@ -113,7 +114,7 @@ def _name(digest: Column, female: Column, cyrillic: Column, at: int, first: bool
 
 
 def surrogate(kind: Column, canon: Column, digest: Column) -> Column:
-    """Canonical surrogate of a canonical entity."""
+    """Canonical surrogate of a canonical entity, with the first ``__keep`` digits of a phone as they are."""
     octet = lambda i, lo, n: (F.lit(lo) + _at(digest, F.lit(i), n)).cast("string")
     ip = F.concat_ws(".", octet(0, 240, 15), octet(3, 0, 256), octet(6, 0, 256), octet(9, 1, 254))
     email = F.concat(_mapped(F.substring_index(canon, "@", 1), digest), F.lit("@"), F.substring(F.translate(digest, "0123456789", "ghijklmnop"), 40, 8), F.lit(".example."), F.substring_index(canon, ".", -1))
@@ -135,7 +136,7 @@ def surrogate(kind: Column, canon: Column, digest: Column) -> Column:
         .when(kind == "aws_key", F.concat(F.substring(canon, 1, 4), _mapped(F.substring(canon, 5, 99), digest)))
         .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _mapped(F.substring(canon, 3, 99), digest)))
         .when(kind == "password", F.concat(F.substring_index(canon, "=", 1), F.lit("="), _mapped(F.substr(canon, F.instr(canon, "=") + 1), digest, True)))
-        .otherwise(_mapped(canon, digest))
+        .otherwise(F.concat(F.substr(canon, F.lit(1), F.col("__keep")), F.substr(_mapped(canon, digest), F.col("__keep") + 1)))
     )
 
 
@@ -144,17 +145,17 @@ def _keyed(key: str) -> Column:
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
-    """(__kind, __canon, sur): distinct surrogates of the distinct entities, none a real entity."""
+    """(__kind, __canon, sur): distinct surrogates, as they are written, of the distinct entities (__kind, __canon, __keep); none a real entity."""
     draw = lambda df: df.withColumn("sur", surrogate(F.col("__kind"), F.col("__canon"), _keyed(key)))
     real = entities.select("__kind", F.col("__canon").alias("sur"))
-    now = scratch(draw(entities.select("__kind", "__canon", F.lit(0).alias("attempt"))))
+    now = scratch(draw(entities.select("__kind", "__canon", "__keep", F.lit(0).alias("attempt"))))
     for _ in range(MOST_ATTEMPTS):
         held = now.groupBy("__kind", "sur").agg(F.count("*").alias("c"), F.min(F.struct("attempt", "__canon")).alias("w")).where("c > 1").select("__kind", "sur", F.col("w.__canon").alias("win"))
         lost = now.join(held, ["__kind", "sur"]).where("__canon <> win").select("__kind", "__canon")
         lost = scratch(lost.union(now.join(real, ["__kind", "sur"], "left_semi").select("__kind", "__canon")).distinct())
         if lost.isEmpty():
             return now.select("__kind", "__canon", "sur")
-        again = draw(now.join(lost, ["__kind", "__canon"], "left_semi").select("__kind", "__canon", (F.col("attempt") + 1).alias("attempt")))
+        again = draw(now.join(lost, ["__kind", "__canon"], "left_semi").select("__kind", "__canon", "__keep", (F.col("attempt") + 1).alias("attempt")))
         now = scratch(now.join(lost, ["__kind", "__canon"], "left_anti").unionByName(again))
     raise RuntimeError("no room for distinct surrogates")
 
@@ -180,8 +181,9 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text: str =
     found = scratch(hit.select(F.col(key_col).alias("__d"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(ALL), 0))).alias("__m")))
     kinds = found.select("__m").distinct().withColumn("__kind", F.coalesce(kind_of(F.col("__m")), F.lit("other")))
     kinds = scratch(kinds.withColumn("__canon", canonical(F.col("__kind"), F.col("__m"))))
-    drawn = assign(scratch(kinds.select("__kind", "__canon").distinct()), key)
     kind, m = F.col("__kind"), F.col("__m")
+    kept = F.when(kind == "phone", F.length(F.regexp_replace(fixed_part(kind, m), "[^0-9]", ""))).otherwise(0)
+    drawn = assign(scratch(kinds.groupBy("__kind", "__canon").agg(F.max(kept).alias("__keep"))), key)
     table = scratch(kinds.join(drawn, ["__kind", "__canon"]).select("__m", _dressed(kind, m, fixed_part(kind, m), F.col("sur")).alias("__r")))
     maps = found.join(F.broadcast(table) if small_enough(table, 200_000) else table, "__m").groupBy("__d").agg(F.map_from_entries(F.collect_set(F.struct("__m", "__r"))).alias("__map"))
     by = fresh(docs, "__map")

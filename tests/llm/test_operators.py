@@ -102,6 +102,16 @@ def test_op5_is_consistent_and_distinct(spark):
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4} and \+1 \d{3}-\d{3}-\d{4}", got[1])
 
 
+def test_op5_phones_of_one_country_stay_distinct(spark):
+    rnd = random.Random(7)
+    real = [f"+1 {n // 10000} {n // 100 % 100:02d} {n % 100:02d}" for n in rnd.sample(range(100_000), 2000)]
+    d = spark.createDataFrame([*enumerate(real), (5000, real[0].replace(" ", ""))], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in surrogate.pseudonymise(d, "key").collect()}
+    put = {got[i] for i in range(2000)}
+    assert len(put) == 2000 and not put & set(real) and all(p.startswith("+1 ") for p in put)
+    assert got[5000] == got[0].replace(" ", "")
+
+
 def test_op6_equals_full_encoding():
     counter = tokencount.Counter.of(tokencount.default_ranks())
     rnd = random.Random(3)
