@@ -1,25 +1,27 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap bounds, exact intersection.
 
 Two texts link when 100 * |A and B| >= 75 * |A or B| over their sets of distinct word
-shingles. Nothing is approximate:
+shingles. The join drops no link; shingles and sets are told apart by 64-bit hashes.
 
 1. Each text becomes a set id (hash of its sorted shingle set), its size, a prefix (the
    25 % + 1 first shingles in one global order; linked sets share one) and a parity
-   bitmap of one to two bits a shingle. Equal sets share an id, so copies meet here.
-   The order puts shingles that a bounded sample shows to be frequent last; it only
-   steers cost, any order gives the same links.
-2. Star round: each prefix shingle's sets are paired with the group's least set id,
-   linear in the postings; the bitmap bound drops pairs, exact intersection of the
-   survivors gives links, and links give components.
-3. Tile round: where a shingle still meets sets of different components, its sets are
-   dealt to tiles of (shingle, size band, block, block) of at most a few hundred rows a side,
-   bitmaps are compared in blocks, and survivors are intersected exactly. So no pair of
-   different components goes untested and no pair inside a component is spelt out.
+   bitmap of one to two bits a shingle. Equal sets share an id, so copies meet here and
+   are one set from then on. The order puts frequent shingles last, by their counts in a
+   fixed share of the texts; it only steers cost, any order gives the same links.
+2. Star round: the sets of a prefix shingle are paired with its weightiest set, linear in
+   the postings; the bitmap bound drops pairs, exact intersection of the survivors gives
+   links, and links give components.
+3. Tile round: where a shingle still meets sets of different components, pairs across
+   components that sizes and the shingle's places let link are compared by bitmap, and
+   survivors are intersected exactly. A shingle of over ``block`` sets deals them to
+   tiles of (size band, block) pairs: rows outside the shingle's largest component meet all
+   rows of their own and the neighbouring bands, those inside never meet each other. So no
+   pair of different components goes untested and no pair inside a component is spelt out.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer
 than five words has its whole word sequence as its one shingle; null, empty or blank
 text has no shingle and links with nothing; repeated ids keep a row each; a null id
-is the least only where a class has no other.
+is the least only where a class has no other. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +30,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, grams, mix, scratch, semi, small_enough, sole_cache, spread, thin, with_component, word_hashes
+from .common import components, discard, grams, mix, scratch, semi, sole_cache, spread, thin, with_component, word_hashes
 
 WORDS, PERCENT = 5, 75
-BLOCK, FEW = 256, 16
-SAMPLE_DOCS, MOST_FREQUENT = 20_000, 200_000
+#: Rows of a tile's side; a shingle of no more sets is one tile.
+BLOCK = 256
+#: One text in so many is counted for the order, and so many frequent shingles are known at most.
+SAMPLE_EVERY, MOST_KNOWN = 8, 500_000
+#: A shingle known to be in more texts has its postings dealt to several tasks.
+HOT = 10_000
 
 
 def shingle_set(text: str | None, k: int = WORDS) -> np.ndarray:
@@ -61,15 +67,15 @@ def width(n: int) -> int:
     return max(64, 1 << (n - 1).bit_length())
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """Parity bitmap: bit (h mod width) flips for each shingle; ORs of halves fold by XOR."""
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Parity bitmap in 64-bit words: bit (h mod width) flips for each shingle; a wider one folds by XOR of its halves."""
     b = width(len(shingles))
     bits = np.bincount((mix(shingles) & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def folded(bits: np.ndarray, to: int) -> np.ndarray:
-    while len(bits) * 8 > to:
+    while len(bits) > to:
         half = len(bits) // 2
         bits = bits[:half] ^ bits[half:]
     return bits
@@ -80,27 +86,43 @@ def band(n: int, percent: int = PERCENT) -> int:
     return int(math.log(n) / math.log(100 / percent) + 1e-9)
 
 
-def _sample_frequent(docs: DataFrame, text: str, k: int) -> np.ndarray:
-    """Rows (hash, count) of shingles seen in at least 4 of about SAMPLE_DOCS texts, by hash."""
-    n = docs.count()
-    every = max(1, n // SAMPLE_DOCS)
+def _known_frequent(docs: DataFrame, text: str, k: int) -> np.ndarray:
+    """Rows (upper half of the hash, count) of the shingles seen most in one text of SAMPLE_EVERY, dealt by hash.
+
+    At most MOST_KNOWN: the least count that is kept follows from the counts of counts.
+    """
 
     def run(batches):
         for b in batches:
             got = [s for t in b.column(0).to_pylist() if len(s := shingle_set(t, k))]
             if got:
-                h, c = np.unique(np.concatenate(got), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
-
-    some = spread(docs.select(text).where(F.pmod(F.xxhash64(text), F.lit(every)) == 0)).mapInArrow(run, "h long, c long")
-    top = some.groupBy("h").agg(F.sum("c").alias("c")).where("c >= 4").orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).toPandas()
-    top = top.sort_values("h")
-    return np.stack([top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)])
-
-
-def signatures(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
+                h, c = np.unique(_upper(np.concatenate(got)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.astype(np.int64))], ["h", "c"])
+
+    some = spread(docs.select(text).where(F.pmod(F.xxhash64(text), F.lit(SAMPLE_EVERY)) == 0)).mapInArrow(run, "h int, c long")
+    counted = scratch(some.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1"))
+    total, least = 0, None
+    for c, n in counted.groupBy(F.least("c", F.lit(10_000)).alias("c")).count().orderBy(F.desc("c")).collect():
+        total += n
+        if total > MOST_KNOWN:
+            break
+        least = c
+    if least is None:
+        return np.zeros((2, 0), np.int32)
+    top = counted.where(F.col("c") >= least).select("h", F.least("c", F.lit(2**31 - 1)).cast("int").alias("c")).toArrow()
+    discard(counted)
+    h, c = (top.column(x).to_numpy() for x in ("h", "c"))
+    order = np.argsort(h)
+    return np.stack([h[order], c[order]])
+
+
+def _upper(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.int64) >> 32).astype(np.int32)
+
+
+def signatures(docs: DataFrame, known: np.ndarray, id_col: str, text: str, k: int, percent: int) -> DataFrame:
     """(id, text_hash, n_shingles, set_id, prefix array, bits) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(_sample_frequent(docs, text, k))
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
         sole_cache("ngramjoin")
@@ -119,72 +141,72 @@ def signatures(docs: DataFrame, id_col: str, text: str, k: int, percent: int) ->
                     v = s.view(np.int64)
                     rank = np.zeros(len(v), dtype=np.int64)
                     if len(known):
-                        p = np.minimum(np.searchsorted(known, v), len(known) - 1)
-                        rank = np.where(known[p] == v, count[p], 0)
+                        u = _upper(s)
+                        p = np.minimum(np.searchsorted(known, u), len(known) - 1)
+                        rank = np.where(known[p] == u, count[p], 0)
                     prefix.append(v[np.lexsort((v, rank))[: prefix_length(len(v), percent)]])
                     bits.append(bitmap(s))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(n)), hashes.slice(at, len(n)), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], [id_col, "text_hash", "n_shingles", "set_id", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(n)), hashes.slice(at, len(n)), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], [id_col, "text_hash", "n_shingles", "set_id", "prefix", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return spread(docs.select(id_col, F.xxhash64(text).alias("text_hash"), text)).mapInArrow(run, f"`{id_col}` {kind}, text_hash long, n_shingles long, set_id long, prefix array<long>, bits binary")
+    return spread(docs.select(id_col, F.xxhash64(text).alias("text_hash"), text)).mapInArrow(run, f"`{id_col}` {kind}, text_hash long, n_shingles long, set_id long, prefix array<long>, bits array<long>")
 
 
-def _may_link(percent: int):
-    """Keep pairs (a, b, na, nb, bits_a, bits_b) whose bitmaps don't rule a link out."""
+def _may_link(percent: int) -> Column:
+    """Whether the bitmaps of a pair (na, nb, bits_a, bits_b) of near sizes let it link."""
+    fold = "zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (x, y) -> x ^ y)"
+    both = "case when size(bits_a) > size(bits_b) then {} when size(bits_a) < size(bits_b) then {} else {} end"
+    apart = "aggregate(zip_with({}, {}, (x, y) -> x ^ y), 0L, (n, x) -> n + bit_count(x))"
+    apart = both.format(apart.format(fold.format("bits_a", "bits_b"), "bits_b"), apart.format("bits_a", fold.format("bits_b", "bits_a")), apart.format("bits_a", "bits_b"))
+    return F.expr(f"floor((na + nb - {apart}) / 2) >= ceil({percent} * (na + nb) / {100 + percent}.0)")
 
-    def run(batches):
-        for b in batches:
-            p = b.to_pydict()
-            keep_a, keep_b = [], []
-            for x, y, n, m, u, v in zip(p["a"], p["b"], p["na"], p["nb"], p["bits_a"], p["bits_b"], strict=True):
-                u, v = np.frombuffer(u, np.uint8), np.frombuffer(v, np.uint8)
-                to = 8 * min(len(u), len(v))
-                apart = int(np.bitwise_count(folded(u, to) ^ folded(v, to)).sum())
-                if (n + m - apart) // 2 >= overlap_needed(n, m, percent):
-                    keep_a.append(x), keep_b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], ["a", "b"])
 
-    return run
+def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text: str, k: int, percent: int, group: int = 64) -> DataFrame:
+    """Pairs (a, b) of set ids that link, by exact intersection of their sorted shingles.
 
-
-def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of set ids that link, by exact intersection of their sorted shingles."""
+    A set's partners are dealt to groups of about ``group``; its text goes once to each group.
+    """
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / group).alias("m"))
+    pairs = scratch(pairs.join(blocks, "a").select("a", "b", F.expr("cast(pmod(xxhash64(b), m) as int)").alias("g")))
     nodes = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct()
     reps = scratch(semi(sets.select(F.col("set_id").alias("a"), "rep", "text_hash"), nodes, "a"))
-    some = docs.select(F.col(id_col).alias("rep"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("t"))
-    texts = some.join(F.broadcast(reps) if small_enough(reps, 1_000_000) else reps, ["rep", "text_hash"])
-    texts = scratch(texts.dropDuplicates(["a"]).select("a", "t"))
+    some = docs.select(F.col(id_col).alias("__i"), F.xxhash64(text).alias("__h"), F.col(text).alias("t"))
+    texts = some.join(reps, some["__i"].eqNullSafe(reps["rep"]) & (some["__h"] == reps["text_hash"]))
+    texts = scratch(texts.select("a", "t").dropDuplicates(["a"]))
+    heads = pairs.select("a", "g").distinct().join(texts, "a").select("a", "g", F.lit(None).cast("long").alias("b"), "t")
+    tails = pairs.join(texts.withColumnRenamed("a", "b"), "b").select("a", "g", "b", "t")
 
     def run(batches):
+        held = None
         for b in thin(batches):
             out: tuple[list, list] = ([], [])
-            held, last = None, None
-            for x, y, s, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if x != last:
-                    held, last = shingle_set(s, k), x
-                other = shingle_set(t, k)
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                if 100 * both >= percent * (len(held) + len(other) - both):
+            for x, y, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                s = shingle_set(t, k)
+                if y is None:
+                    held = s
+                    continue
+                both = len(np.intersect1d(held, s, assume_unique=True))
+                if 100 * both >= percent * (len(held) + len(s) - both):
                     out[0].append(x), out[1].append(y)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
 
-    joined = pairs.join(texts.withColumnRenamed("t", "ta"), "a").join(texts.select(F.col("a").alias("b"), F.col("t").alias("tb")), "b")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    rows = heads.unionByName(tails).repartition("a", "g").sortWithinPartitions("a", "g", F.asc_nulls_first("b"))
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _tiles(percent: int):
     """In a tile (rows: list of side, set_id, n, comp, bits), compare bitmaps of different components."""
 
     def compare(x: list, y: list, found: set) -> None:
-        to = 8 * min(len(r["bits"]) for r in (*x, *y))
-        pack = lambda rows: np.stack([folded(np.frombuffer(r["bits"], np.uint8), to) for r in rows])
+        to = min(len(r["bits"]) for r in (*x, *y))
+        pack = lambda rows: np.stack([folded(np.array(r["bits"], np.int64), to) for r in rows])
         column = lambda rows, c: np.array([r[c] for r in rows], np.int64)
         xb, yb, xn, yn = pack(x), pack(y), column(x, "n")[:, None], column(y, "n")[None]
         xp, yp = column(x, "pos")[:, None], column(y, "pos")[None]
-        step = max(1, 8_000_000 // yb.size)
+        step = max(1, 2_000_000 // yb.size)
         for at in range(0, len(x), step):
             part = slice(at, at + step)
-            apart = np.bitwise_count(xb[part, None] ^ yb[None]).sum(2, dtype=np.int64)
+            apart = np.bitwise_count((xb[part, None] ^ yb[None]).view(np.uint64)).sum(2, dtype=np.int64)
             need = overlap_needed(xn[part], yn, percent)
             fit = (np.minimum(xn[part] - xp[part], yn - yp) >= need) & ((xn[part] + yn - apart) // 2 >= need) & (column(x, "comp")[part, None] != column(y, "comp")[None])
             for i, j in zip(*np.nonzero(fit), strict=True):
@@ -204,81 +226,102 @@ def _tiles(percent: int):
     return run
 
 
-def _tile_pairs(left: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of rows (tok, set_id, n, comp, own) of hot shingles, tile by tile."""
-    sizes = left.groupBy("tok", "own").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
-    upper = sizes.select("tok", (F.col("own") - 1).alias("own"), F.col("nb").alias("up"))
-    lower = sizes.select("tok", (F.col("own") + 1).alias("own"), F.col("nb").alias("down"))
-    near = left.join(sizes, ["tok", "own"]).join(upper, ["tok", "own"], "left").join(lower, ["tok", "own"], "left").join(bits, "set_id")
-    near = near.withColumn("blk", F.pmod(F.xxhash64("set_id"), F.col("nb")))
-    tile = lambda kind, band, i, j, side: F.struct(F.lit(kind).alias("kind"), band.cast("long").alias("band"), i.cast("long").alias("i"), j.cast("long").alias("j"), side.cast("int").alias("side"))
-    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-    none = F.array().cast("array<struct<kind:int,band:bigint,i:bigint,j:bigint,side:int>>")
-    blk, own = F.col("blk"), F.col("own")
-    same = F.transform(upto("nb"), lambda o: tile(0, own, F.least(blk, o), F.greatest(blk, o), F.when(blk <= o, 0).otherwise(1)))
-    home = F.when(F.col("up").isNotNull(), F.transform(upto("up"), lambda o: tile(1, own, blk, o, F.lit(0)))).otherwise(none)
-    guest = F.when(F.col("down").isNotNull(), F.transform(upto("down"), lambda o: tile(1, own - 1, o, blk, F.lit(1)))).otherwise(none)
-    dealt = near.select("tok", "set_id", "n", "pos", "comp", "bits", F.explode(F.concat(same, home, guest)).alias("t"))
-    rows = dealt.groupBy("tok", "t.kind", "t.band", "t.i", "t.j").agg(F.collect_list(F.struct(F.col("t.side").alias("side"), "set_id", "n", "pos", "comp", "bits")).alias("rows"))
-    return rows.where("size(rows) > 1").select("rows").mapInArrow(_tiles(percent), "a long, b long")
-
-
-def _places(percent: int) -> str:
+def _tile_pairs(left: DataFrame, bits: DataFrame, percent: int, block: int) -> DataFrame:
+    """Candidate pairs of rows (tok, set_id, n, pos, comp) of hot shingles, tile by tile.
+
+    Rows are inside or outside their shingle's largest component. A tile (band, i, to, out, j) holds the outside
+    rows of block i of ``band`` and those of block j of the band ``to``, outside (out = 1) or inside (out = 0).
+    """
+    main = left.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.max(F.struct("c", "comp")).alias("m")).select("tok", F.col("m.comp").alias("main"))
+    rows = left.join(main, "tok").withColumns({"band": F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("long"), "out": (F.col("comp") != F.col("main")).cast("int")})
+    counts = rows.groupBy("tok", "band", "out").agg(F.ceil(F.count("*") / block).cast("int").alias("c"))
+    counts = counts.groupBy("tok").agg(F.map_from_entries(F.collect_list(F.struct(F.expr("2 * band + out").alias("k"), F.col("c").alias("v")))).alias("blocks"))
+    rows = rows.join(counts, "tok").join(bits, "set_id")
+    n = lambda d, out: f"coalesce(blocks[2 * (band + {d}) + {out}], 0)"
+    rows = rows.withColumn("blk", F.expr(f"cast(pmod(xxhash64(set_id), {n(0, 'out')}) as int)"))
+    each = lambda count, make: f"transform(if({count} > 0, sequence(0, {count} - 1), cast(array() as array<int>)), o -> {make})"
+    tile = lambda band, i, to, out, j, side: f"named_struct('band', {band}, 'i', {i}, 'to', {to}, 'out', {out}, 'j', {j}, 'side', {side})"
+    outside = [each(n(d, 0), tile("band", "blk", f"band + {d}", 0, "o", 0)) for d in (-1, 0, 1)]
+    outside.append(each(n(0, 1), tile("band", "least(blk, o)", "band", 1, "greatest(blk, o)", "if(blk <= o, 0, 1)")))
+    outside += [each(n(1, 1), tile("band", "blk", "band + 1", 1, "o", 0)), each(n(-1, 1), tile("band - 1", "o", "band", 1, "blk", 1))]
+    inside = [each(n(d, 1), tile(f"band + {d}", "o", "band", 0, "blk", 1)) for d in (-1, 0, 1)]
+    dealt = rows.select("tok", "set_id", "n", "pos", "comp", "bits", F.explode(F.expr(f"if(out = 1, concat({', '.join(outside)}), concat({', '.join(inside)}))")).alias("t"))
+    dealt = dealt.groupBy("tok", "t.band", "t.i", "t.to", "t.out", "t.j").agg(F.collect_list(F.struct(F.col("t.side").alias("side"), "set_id", "n", "pos", "comp", "bits")).alias("rows"))
+    return dealt.where("size(rows) > 1").select("rows").mapInArrow(_tiles(percent), "a long, b long")
+
+
+def _places(percent: int, na: str = "na", nb: str = "nb", pa: str = "pa", pb: str = "pb") -> str:
     """Sizes and places of a shared shingle let (a, b) link, were it their first shared one."""
-    need = f"ceil({percent} * (na + nb) / {100 + percent}.0)"
-    return f"100 * least(na, nb) >= {percent} * greatest(na, nb) and least(na - pa, nb - pb) >= {need}"
+    need = f"ceil({percent} * ({na} + {nb}) / {100 + percent}.0)"
+    return f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) and least({na} - {pa}, {nb} - {pb}) >= {need}"
+
+
+def _shared_postings(sets: DataFrame, known: np.ndarray, hot: int) -> DataFrame:
+    """Rows (set_id, n, pos, tok, c) of the prefix shingles that several sets hold; c counts them.
+
+    One shuffle by shingle. One known to be hot is shared for sure, so its rows are dealt
+    to as many tasks as its estimated count needs, and that estimate is its c.
+    """
+    most = known[:, known[1] > hot / SAMPLE_EVERY]
+    frequent = sets.sparkSession.createDataFrame([(int(h), int(c) * SAMPLE_EVERY) for h, c in most.T], "h int, est long")
+    rows = sets.select("set_id", "n", F.posexplode("prefix").alias("pos", "tok"))
+    rows = rows.join(F.broadcast(frequent), F.shiftright("tok", 32).cast("int") == F.col("h"), "left")
+    rows = rows.withColumn("salt", F.expr(f"if(est is null, 0, cast(pmod(xxhash64(set_id), ceil(est / {hot})) as int))"))
+    rows = rows.withColumn("c", F.coalesce("est", F.count("*").over(Window.partitionBy("tok", "salt"))))
+    return rows.where("c > 1").select("set_id", "n", "pos", "tok", "c")
+
+
+def _few_pairs(left: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of rows (tok, set_id, n, pos, comp) of shingles of few sets that places let link."""
+    rows = left.groupBy("tok").agg(F.collect_list(F.struct(F.col("set_id").alias("s"), "n", F.col("pos").alias("p"), F.col("comp").alias("c"))).alias("r"))
+    fit = f"x.c <> y.c and {_places(percent, 'x.n', 'y.n', 'x.p', 'y.p')}"
+    pair = "if(x.s < y.s, struct(x.s as a, y.s as b, x.n as na, y.n as nb), struct(y.s as a, x.s as b, y.n as na, x.n as nb))"
+    pairs = f"flatten(transform(r, (x, i) -> transform(filter(slice(r, i + 2, size(r)), y -> {fit}), y -> {pair})))"
+    return rows.select(F.explode(F.expr(pairs)).alias("p")).select("p.*").distinct()
 
 
-def _bounded_pairs(pairs: DataFrame, size: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that sizes and bitmaps let link."""
-    pairs = pairs.join(size.select(F.col("set_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("set_id").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, na, nb) the (a, b) that bitmaps let link."""
     for x in "ab":
         pairs = pairs.join(bits.select(F.col("set_id").alias(x), F.col("bits").alias(f"bits_{x}")), x)
-    return pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_may_link(percent), "a long, b long")
+    return pairs.where(_may_link(percent)).select("a", "b")
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT, hashes: bool = False) -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT, hashes: bool = False, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """(id, n_shingles, component_id[, text_hash]): size of the set, least id reachable by links."""
-    sig = scratch(signatures(docs, id_col, text, k, percent))
-    own = sig.select(F.col(id_col).alias("__id"), "n_shingles", "set_id", "text_hash")
-    sets = scratch(own.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct("__id", "text_hash")).alias("r"), F.first("n_shingles").alias("n")).select("set_id", F.col("r.__id").alias("rep"), F.col("r.text_hash").alias("text_hash"), "n"))
-    postings = sig.where("set_id is not null").select("set_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "tok"))
-    met = postings.groupBy("tok").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi"), F.count("*").alias("c"))
-    met = scratch(met.where("lo < hi").select("tok", "c"))
-    members = postings.join(F.broadcast(met) if small_enough(met, 2_000_000) else met, "tok")
-    members = scratch(members.groupBy("tok", "set_id").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("c").alias("c")))
-    bits = sig.where("set_id is not null").select("set_id", "bits")
-    needed = members.select("set_id").distinct()
-    bits = scratch(semi(bits, needed, "set_id").groupBy("set_id").agg(F.first("bits").alias("bits")))
+    known = _known_frequent(docs, text, k)
+    sig = scratch(signatures(docs, known, id_col, text, k, percent))
+    least = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_hash")).alias("r")
+    sets = sig.where("set_id is not null").groupBy("set_id").agg(least, F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    sets = scratch(sets.select("set_id", F.col("r.id").alias("rep"), F.col("r.text_hash").alias("text_hash"), "n", "prefix", "bits"))
+    own = scratch(sig.select(F.col(id_col).alias("__id"), "n_shingles", "set_id", "text_hash"))
+    discard(sig)
+    bits = sets.select("set_id", "bits")
+    members = scratch(_shared_postings(sets, known, hot))
 
     # star round
-    size = sets.select("set_id", "n")
     weight = members.groupBy("set_id").agg(F.sum("c").alias("w"))
     pivot = members.join(weight, "set_id").groupBy("tok").agg(F.max(F.struct("w", "set_id", "n", "pos")).alias("p"))
     pivot = pivot.select("tok", F.col("p.set_id").alias("a"), F.col("p.n").alias("na"), F.col("p.pos").alias("pa"))
     other = members.select("tok", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    pairs = pivot.join(other, "tok").where("a <> b").where(_places(percent)).select("a", "b").distinct()
-    pairs = scratch(_bounded_pairs(pairs, size, bits, percent))
+    pairs = pivot.join(other, "tok").where("a <> b").where(_places(percent)).select("a", "b", "na", "nb").distinct()
+    pairs = scratch(_bounded(pairs, bits, percent))
     edges = scratch(_verify(pairs, sets, docs, id_col, text, k, percent))
     star = components(edges)
 
-    # tile round: a few sets are paired outright, more are dealt to tiles
-    placed = scratch(with_component(members.select("tok", "set_id", "n", "pos"), star, "set_id", "comp"))
-    mixed = placed.groupBy("tok").agg(F.min("comp").alias("lc"), F.max("comp").alias("hc"), F.count("*").alias("rows")).where("lc < hc").select("tok", "rows")
-    mixed = scratch(mixed)
-    left = placed.join(F.broadcast(mixed) if small_enough(mixed, 1_000_000) else mixed, "tok")
-    left = left.select("tok", "set_id", "n", "pos", "comp", "rows", F.floor(F.log("n") / math.log(100 / percent) + 1e-9).alias("own"))
-    few, x, y = left.where(f"rows <= {FEW}"), ["tok", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca")], ["tok", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb")]
-    plain = few.select(*x).join(few.select(*y), "tok").where("a < b and ca <> cb").where(_places(percent))
-    plain = _bounded_pairs(plain.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), size, bits, percent)
-    tiled = _tile_pairs(left.where(f"rows > {FEW}"), bits, percent)
-    more = scratch(plain.unionByName(tiled).distinct())
+    # tile round
+    placed = scratch(with_component(members.select("tok", "set_id", "n", "pos", "c"), star, "set_id", "comp"))
+    mixed = scratch(placed.groupBy("tok").agg(F.min("comp").alias("lc"), F.max("comp").alias("hc")).where("lc < hc").select("tok"))
+    few = _few_pairs(placed.where(f"c <= {block}").join(mixed, "tok", "left_semi"), percent)
+    few = _bounded(few, bits, percent).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    tiled = _tile_pairs(placed.where(f"c > {block}").join(mixed, "tok", "left_semi"), bits, percent, block)
+    more = scratch(few.unionByName(tiled).distinct())
     edges = edges.unionByName(_verify(more, sets, docs, id_col, text, k, percent))
     comps = components(edges)
+    discard(members, placed, mixed, pairs, more)
 
     # back from set ids to rows
-    named = with_component(sets, comps, "set_id", "cls")
+    named = with_component(sets.select("set_id", "rep"), comps, "set_id", "cls")
     least = named.groupBy("cls").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "cls").select("set_id", "component_id")
     out = own.join(named, "set_id", "left")

@@ -30,20 +30,72 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
 
 
-def test_op10_equals_brute_force(docs):
-    got = {r.doc_id: r for r in ngramjoin.link(docs).collect()}
+def jaccard_rows(rows):
+    """id -> (size, least id reachable) over all pairs."""
     sets = {}
-    for r in docs.collect():
-        w = re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode().lower())
-        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    for i, t in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
     comp = {i: i for i in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                both = len(sets[a] & sets[b])
-                if both and 100 * both >= 75 * len(sets[a] | sets[b]):
-                    comp[a] = comp[b] = min(comp[a], comp[b])
-    assert {i: (len(sets[i]), comp[i]) for i in sets} == {i: (r.n_shingles, r.component_id) for i, r in got.items()}
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) > 0:
+                p, q = sorted((root(a), root(b)))
+                comp[q] = p
+    return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+def test_op10_equals_brute_force(docs):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.link(docs).collect()}
+    assert got == jaccard_rows([(r.doc_id, r.text) for r in docs.collect()])
+
+
+@pytest.mark.parametrize(("block", "hot"), [(16, 100), (256, 10_000)])
+def test_op10_tiles_of_a_hot_shingle_equal_brute_force(spark, block, hot):
+    """Over 300 sets share the shingles of one passage; some link, through the passage alone or with their tails."""
+    rnd = random.Random(block)
+    passage, rows = words(rnd, 40), []
+    for i in range(340):
+        tail = words(rnd, rnd.choice([0, 3, 6, 9, 12, 15]))
+        rows.append((i, " ".join(passage + tail)))
+        if i % 9 == 0:
+            rows.append((1000 + i, " ".join(passage + tail[:-1] + ["end"])))
+    near = words(rnd, 80)
+    for i in range(60):
+        w = list(near)
+        w[rnd.randrange(80)] = f"edit{i}"
+        rows.append((2000 + i, " ".join(w + passage[:8])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.link(spark.createDataFrame(rows, "doc_id long, text string"), block=block, hot=hot).collect()}
+    assert got == jaccard_rows(rows)
+
+
+def test_op10_tiles_without_a_star(spark):
+    """The tile round alone, over components of one set each, gives every link between neighbouring size bands."""
+    rnd = random.Random(12)
+    passage = words(rnd, 60)
+    rows = [(i, " ".join(passage[: rnd.randint(20, 60)] + words(rnd, rnd.randint(0, 9)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = np.zeros((2, 0), np.int32)
+    sig = ngramjoin.signatures(docs, known, "doc_id", "text", 5, 75).cache()
+    sets = {r.set_id: ngramjoin.shingle_set(dict(rows)[r.doc_id]) for r in sig.collect()}
+    left = sig.select("set_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "tok")).distinct().withColumn("comp", F.col("set_id"))
+    pairs = {(r.a, r.b) for r in ngramjoin._tile_pairs(left, sig.select("set_id", "bits").distinct(), 75, 16).collect()}
+    few = {(r.a, r.b) for r in ngramjoin._bounded(ngramjoin._few_pairs(left, 75), sig.select("set_id", "bits").distinct(), 75).collect()}
+    true = {(a, b) for a in sets for b in sets if a < b and 100 * len(both := np.intersect1d(sets[a], sets[b])) >= 75 * (len(sets[a]) + len(sets[b]) - len(both))}
+    assert true and true <= pairs and true <= few
+
+
+def test_op10_copies_without_id_link(spark):
+    text = "one two three four five six seven eight"
+    rows = [(7, text), (9, text), (None, text), (None, "alone"), (None, None), (11, text + " nine"), (11, "other words here"), (11, text)]
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngramjoin.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(0, 0, 0), (0, 1, 0), (0, 4, 7), (7, 4, 7), (9, 4, 7), (11, 1, 11), (11, 4, 7), (11, 5, 7)]
 
 
 def test_op2_removes_spread_lines_but_the_first(spark):
