@@ -8,7 +8,7 @@ shingles. The join drops no link; shingles and sets are told apart by 64-bit has
    bitmap of one to two bits a shingle. Equal sets share an id, so copies meet here and
    are one set from then on. The order puts frequent shingles last, by their counts in a
    fixed share of the texts; it only steers cost, any order gives the same links.
-2. Star round: the sets of a prefix shingle are paired with its weightiest set, linear in
+2. Star round: the sets of a prefix shingle are paired with its least set id, linear in
    the postings; the bitmap bound drops pairs, exact intersection of the survivors gives
    links, and links give components.
 3. Tile round: where a shingle still meets sets of different components, pairs across
@@ -169,10 +169,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, tex
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / group).alias("m"))
     pairs = scratch(pairs.join(blocks, "a").select("a", "b", F.expr("cast(pmod(xxhash64(b), m) as int)").alias("g")))
     nodes = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct()
-    reps = scratch(semi(sets.select(F.col("set_id").alias("a"), "rep", "text_hash"), nodes, "a"))
+    reps = scratch(semi(sets.select(F.col("set_id").alias("a"), "rep", "text_hash", "rows"), nodes, "a"))
     some = docs.select(F.col(id_col).alias("__i"), F.xxhash64(text).alias("__h"), F.col(text).alias("t"))
-    texts = some.join(reps, some["__i"].eqNullSafe(reps["rep"]) & (some["__h"] == reps["text_hash"]))
-    texts = scratch(texts.select("a", "t").dropDuplicates(["a"]))
+    texts = some.join(reps, some["__i"].eqNullSafe(reps["rep"]) & (some["__h"] == reps["text_hash"])).select("a", "t", "rows")
+    texts = scratch(texts.where("rows = 1").unionByName(texts.where("rows > 1").dropDuplicates(["a"])).select("a", "t"))
     heads = pairs.select("a", "g").distinct().join(texts, "a").select("a", "g", F.lit(None).cast("long").alias("b"), "t")
     tails = pairs.join(texts.withColumnRenamed("a", "b"), "b").select("a", "g", "b", "t")
 
@@ -257,18 +257,19 @@ def _places(percent: int, na: str = "na", nb: str = "nb", pa: str = "pa", pb: st
 
 
 def _shared_postings(sets: DataFrame, known: np.ndarray, hot: int) -> DataFrame:
-    """Rows (set_id, n, pos, tok, c) of the prefix shingles that several sets hold; c counts them.
+    """Rows (set_id, n, pos, tok, c, p) of the prefix shingles that several sets hold; c counts them, p is the least of them.
 
     One shuffle by shingle. One known to be hot is shared for sure, so its rows are dealt
-    to as many tasks as its estimated count needs, and that estimate is its c.
+    to as many tasks as its estimated count needs; that estimate is its c, and each task has a p.
     """
     most = known[:, known[1] > hot / SAMPLE_EVERY]
     frequent = sets.sparkSession.createDataFrame([(int(h), int(c) * SAMPLE_EVERY) for h, c in most.T], "h int, est long")
     rows = sets.select("set_id", "n", F.posexplode("prefix").alias("pos", "tok"))
     rows = rows.join(F.broadcast(frequent), F.shiftright("tok", 32).cast("int") == F.col("h"), "left")
     rows = rows.withColumn("salt", F.expr(f"if(est is null, 0, cast(pmod(xxhash64(set_id), ceil(est / {hot})) as int))"))
-    rows = rows.withColumn("c", F.coalesce("est", F.count("*").over(Window.partitionBy("tok", "salt"))))
-    return rows.where("c > 1").select("set_id", "n", "pos", "tok", "c")
+    of = Window.partitionBy("tok", "salt")
+    rows = rows.withColumns({"c": F.coalesce("est", F.count("*").over(of)), "p": F.min(F.struct(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))).over(of)})
+    return rows.where("c > 1").select("set_id", "n", "pos", "tok", "c", "p")
 
 
 def _few_pairs(left: DataFrame, percent: int) -> DataFrame:
@@ -277,7 +278,7 @@ def _few_pairs(left: DataFrame, percent: int) -> DataFrame:
     fit = f"x.c <> y.c and {_places(percent, 'x.n', 'y.n', 'x.p', 'y.p')}"
     pair = "if(x.s < y.s, struct(x.s as a, y.s as b, x.n as na, y.n as nb), struct(y.s as a, x.s as b, y.n as na, x.n as nb))"
     pairs = f"flatten(transform(r, (x, i) -> transform(filter(slice(r, i + 2, size(r)), y -> {fit}), y -> {pair})))"
-    return rows.select(F.explode(F.expr(pairs)).alias("p")).select("p.*").distinct()
+    return rows.where("array_min(transform(r, x -> x.c)) < array_max(transform(r, x -> x.c))").select(F.explode(F.expr(pairs)).alias("p")).select("p.*").distinct()
 
 
 def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -291,34 +292,29 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = W
     """(id, n_shingles, component_id[, text_hash]): size of the set, least id reachable by links."""
     known = _known_frequent(docs, text, k)
     sig = scratch(signatures(docs, known, id_col, text, k, percent))
-    least = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_hash")).alias("r")
-    sets = sig.where("set_id is not null").groupBy("set_id").agg(least, F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    sets = scratch(sets.select("set_id", F.col("r.id").alias("rep"), F.col("r.text_hash").alias("text_hash"), "n", "prefix", "bits"))
     own = scratch(sig.select(F.col(id_col).alias("__id"), "n_shingles", "set_id", "text_hash"))
+    rows = own.where("set_id is not null").groupBy("set_id", F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "text_hash").alias("r")).agg(F.count("*").alias("rows"))
+    rows = rows.groupBy("set_id").agg(F.min(F.struct("r", "rows")).alias("r")).select("set_id", F.col("r.r.id").alias("rep"), F.col("r.r.text_hash").alias("text_hash"), F.col("r.rows").alias("rows"))
+    sets = sig.where("set_id is not null").groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    sets = scratch(sets.join(rows, "set_id"))
     discard(sig)
     bits = sets.select("set_id", "bits")
     members = scratch(_shared_postings(sets, known, hot))
 
     # star round
-    weight = members.groupBy("set_id").agg(F.sum("c").alias("w"))
-    pivot = members.join(weight, "set_id").groupBy("tok").agg(F.max(F.struct("w", "set_id", "n", "pos")).alias("p"))
-    pivot = pivot.select("tok", F.col("p.set_id").alias("a"), F.col("p.n").alias("na"), F.col("p.pos").alias("pa"))
-    other = members.select("tok", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    pairs = pivot.join(other, "tok").where("a <> b").where(_places(percent)).select("a", "b", "na", "nb").distinct()
-    pairs = scratch(_bounded(pairs, bits, percent))
+    pairs = members.select("p.*", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).where("a <> b").where(_places(percent))
+    pairs = scratch(_bounded(pairs.select("a", "b", "na", "nb").distinct(), bits, percent))
     edges = scratch(_verify(pairs, sets, docs, id_col, text, k, percent))
     star = components(edges)
 
     # tile round
-    placed = scratch(with_component(members.select("tok", "set_id", "n", "pos", "c"), star, "set_id", "comp"))
-    mixed = scratch(placed.groupBy("tok").agg(F.min("comp").alias("lc"), F.max("comp").alias("hc")).where("lc < hc").select("tok"))
-    few = _few_pairs(placed.where(f"c <= {block}").join(mixed, "tok", "left_semi"), percent)
-    few = _bounded(few, bits, percent).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    tiled = _tile_pairs(placed.where(f"c > {block}").join(mixed, "tok", "left_semi"), bits, percent, block)
-    more = scratch(few.unionByName(tiled).distinct())
+    placed = with_component(members.select("tok", "set_id", "n", "pos", "c"), star, "set_id", "comp")
+    few = _bounded(_few_pairs(placed.where(f"c <= {block}"), percent), bits, percent)
+    tiled = _tile_pairs(placed.where(f"c > {block}"), bits, percent, block)
+    more = scratch(few.unionByName(tiled).distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     edges = edges.unionByName(_verify(more, sets, docs, id_col, text, k, percent))
     comps = components(edges)
-    discard(members, placed, mixed, pairs, more)
+    discard(members, pairs, more)
 
     # back from set ids to rows
     named = with_component(sets.select("set_id", "rep"), comps, "set_id", "cls")
