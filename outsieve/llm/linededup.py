@@ -8,8 +8,8 @@ first place (least document id, then position) and goes everywhere else.
 
 Lines are split at newline and compared after trimming spaces, by a 128-bit hash.
 Defined results: blank lines always stay and have no spread; a null site counts as no
-site; null text stays null with no lines; rows that repeat an id count as one document;
-rows with a null id lose nothing, and a line in one has its first place there;
+site; null text stays null with no lines; rows that repeat an id are told apart by their
+text, and such that repeat both count as one document; a null id is the least of all;
 text whose lines all go becomes empty. All other columns pass through; text of a changed
 row loses those lines with their newlines, and ``n_chars``, where given, follows it.
 """
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, scratch, small_enough
+from .common import fresh, keyed, scratch, small_enough
 
 MIN_SITES, MARGIN, LOG_BUCKETS = 8, 0.15, 12
 
@@ -29,13 +29,14 @@ def _hash(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text: str, site: str | None) -> DataFrame:
-    keep = [F.col(id_col).alias("__d"), *([F.col(site).cast("string").alias("__site")] if site else [])]
+    document = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("__d")
+    keep = [document, *([F.col(site).cast("string").alias("__site")] if site else [])]
     at = docs.select(*keep, F.posexplode(F.split(F.col(text), "\n", -1)).alias("__p", "__line"))
     return at.select("__d", *["__site"] * bool(site), "__p", _hash(F.col("__line")).alias("__h")).where("__h is not null")
 
 
 def boilerplate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """(__h, first) of lines on at least ``min_sites`` sites; first is struct (__d, __p)."""
+    """(__h, first) of lines on at least ``min_sites`` sites; first is struct (__d, __p), and __d struct (id, h of the text)."""
     lines = _lines(docs, id_col, text, site)
     sketched = lines.groupBy("__h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("__site", F.lit(LOG_BUCKETS))).alias("est"), F.count("__site").alias("n"), F.min(F.struct("__d", "__p")).alias("first"))
     likely = scratch(sketched.where((F.col("n") >= min_sites) & (F.col("est") >= min_sites * (1 - MARGIN))))
@@ -56,9 +57,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", site:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, counts: bool = False) -> DataFrame:
     """``docs`` without boilerplate lines; with ``counts`` also n_lines and n_removed, in place of columns so named."""
-    d, g = fresh(docs, "__d"), fresh(docs, "__gone")
+    named, d = keyed(docs, id_col, text)
+    g = fresh(docs, "__gone")
     gone = removals(docs, id_col, text, site, min_sites).select(F.col("__d").alias(d), F.col("__gone").alias(g))
-    out = docs.join(gone, F.col(id_col) == F.col(d), "left")
+    out = named.join(gone, d, "left")
     parts = F.split(F.col(text), "\n", -1)
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col(g), i)), "\n")
     new = F.when(F.col(g).isNull(), F.col(text)).otherwise(left)
