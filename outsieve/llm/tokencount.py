@@ -8,8 +8,10 @@ pre-tokens and updates sums on the paths to the root. Counts stay exact: they eq
 full encoding of the edited text.
 
 Defined results: null text has null counts and takes no edits; empty text counts 0; edits apply in
-order to the text as edited so far, places are clamped to it; an edit that changes
-nothing re-encodes its region only.
+order to the text as edited so far, places are clamped to it; a null edit, or one of null
+place, is skipped, null new text deletes; an edit that changes nothing re-encodes its
+region only. Repeated rows each get a row; columns other than id, text and edits are
+ignored.
 """
 
 from __future__ import annotations
@@ -180,7 +182,7 @@ def count(docs: DataFrame, id_col: str = "doc_id", text: str = "text", edits=sam
                     continue
                 tree = Tree(t, counter)
                 before, n = tree.tokens, sum(map(len, tree.slots))
-                for s, e, x in ((c["start"], c["end"], c["text"] or "") for c in change or ()) if given else edits(len(t)):
+                for s, e, x in ((c["start"], c["end"], c["text"] or "") for c in change or () if c and None not in (c["start"], c["end"])) if given else edits(len(t)):
                     tree.edit(s, e, x)
                 out.append((before, tree.tokens, n, tree.encoded, tree.text() if texts else None))
             columns = [keys, *(pa.array([r[c] for r in out], pa.int64()) for c in range(4)), *([pa.array([r[4] for r in out], pa.string())] if texts else [])]
