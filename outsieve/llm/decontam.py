@@ -11,7 +11,9 @@ Items go in blocks whose size is bounded, each block broadcast and met with all
 
 Defined results: null or empty text, and texts shorter than an item's segment less the
 budget, match nothing; items under ``q`` characters after normalising are compared as
-whole normalised texts; null items are skipped; repeated ids give a row each, and
+whole normalised texts; items of null text are skipped, one of null id is met like any
+other and named null; items that repeat an id are one; of an item's regions the one of
+fewest edits counts, of equals the first; rows that repeat an id give a row each, and
 ``clean`` judges each row by its own text, whether ids repeat or are null.
 """
 
@@ -23,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import powers, sole_cache, spread, thin
 
@@ -51,37 +54,37 @@ def qgrams(data: bytes, q: int) -> np.ndarray:
     return h * _BASE ^ (h >> np.uint64(29))
 
 
-def distance_within(a: bytes, b: bytes, k: int) -> int:
-    """Least edits that turn ``a`` into some part of ``b``; k + 1 if over k. Cells over k are skipped."""
-    if a in b:
-        return 0
-    over = k + 1
-    row = [0] * (len(b) + 1)
-    for i, x in enumerate(a, 1):
-        left, live = i if i <= k else over, i <= k
-        diagonal = row[0]
-        row[0] = left
-        for j, y in enumerate(b, 1):
-            up = row[j]
-            if diagonal > k and up > k and left > k:
-                left = over
-            else:
-                left = min(diagonal + (x != y), up + 1, left + 1)
-            live |= left <= k
-            diagonal, row[j] = up, left
-        if not live:
-            return over
-    return min(min(row), over)
+def distance_within(a: bytes, b: bytes, low: int, high: int) -> int:
+    """Least edits that turn ``a`` into a part of ``b``, over paths on diagonals (place in b less place in a) low to high."""
+    m, w = len(a), high - low + 1
+    cells = np.full(m + w - 1, -1, dtype=np.int16)
+    start, end = max(0, low), min(len(b), low + m + w - 1)
+    if end > start:
+        cells[start - low : end - low] = np.frombuffer(b, np.uint8)[start:end]
+    unequal = (np.lib.stride_tricks.sliding_window_view(cells, w) != np.frombuffer(a, np.uint8)[:, None].astype(np.int16)).astype(np.int32)
+    outside = np.arange(low, high + 1)
+    far, step = 2 * m + w, np.arange(w, dtype=np.int32)
+    row = np.where((outside >= 0) & (outside <= len(b)), 0, far).astype(np.int32)
+    for i in range(m):
+        # from the same diagonal a match or replacement, from the next one a letter of a left out, from the one before a letter of b
+        above = np.append(row[1:], far)
+        row = np.minimum(row + unequal[i], above + 1)
+        row[(outside + i + 1 < 0) | (outside + i + 1 > len(b))] = far
+        row = np.minimum.accumulate(row - step) + step
+    return int(row.min())
 
 
 class Index:
     """Segments of a block of items and where their q-grams stand."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, segment: int = SEGMENT, stride: int = STRIDE, budget: float = BUDGET):
+    def __init__(self, items: list[tuple], q: int = Q, segment: int = SEGMENT, stride: int = STRIDE, budget: float = BUDGET):
         self.q = q
         self.item, self.start, self.text, self.k, self.need = [], [], [], [], []
         self.whole: dict[bytes, list[int]] = {}
-        for item, raw in items:
+        self.ids = list(dict.fromkeys(i for i, _ in items))
+        number = {i: n for n, i in enumerate(self.ids)}
+        for name, raw in items:
+            item = number[name]
             t = normal(raw)
             if len(t) < q:
                 if t:
@@ -122,38 +125,35 @@ class Index:
             enough = np.bincount(seg, minlength=len(self.need)) >= self.needs
             keep = enough[seg]
             seg, diagonal, doc = seg[keep], (doc - place)[keep], doc[keep]
-            for s, lo, hi in self._regions(seg, diagonal, doc):
+            for s, low, high in self._regions(seg, diagonal, doc):
                 item = self.item[s]
                 if item in best and best[item][0] == 0:
                     continue
-                k = self.k[s]
-                lo, hi = max(0, lo - k), min(len(data), hi + k)
-                d = distance_within(self.text[s], data[lo:hi], k)
-                if d <= k and (item not in best or d < best[item][0]):
-                    best[item] = (d, lo, hi)
-        return [(i, *v) for i, v in sorted(best.items())]
+                d = distance_within(self.text[s], data, low, high)
+                if d <= self.k[s] and (item not in best or d < best[item][0]):
+                    best[item] = (d, max(0, low), min(len(data), high + len(self.text[s])))
+        return [(self.ids[i], *v) for i, v in sorted(best.items())]
 
     def _regions(self, seg: np.ndarray, diagonal: np.ndarray, doc: np.ndarray):
-        """Regions of a document whose shared q-grams in a band meet the lemma's bound."""
+        """(segment, first diagonal, last) of the bands whose shared q-grams meet the lemma's bound in some window.
+
+        The path of an alignment within k edits stays on k + 1 diagonals at most, which some band holds whole.
+        """
         if not len(seg):
             return
         w = self.ks[seg] + 1
         b = np.floor_divide(diagonal, w)
-        seg, band, doc, diagonal = np.tile(seg, 2), np.concatenate((b, b - 1)), np.tile(doc, 2), np.tile(diagonal, 2)
+        seg, band, doc = np.tile(seg, 2), np.concatenate((b, b - 1)), np.tile(doc, 2)
         order = np.lexsort((doc, band, seg))
-        seg, band, doc, diagonal = seg[order], band[order], doc[order], diagonal[order]
+        seg, band, doc = seg[order], band[order], doc[order]
         need = self.needs[seg]
         ahead = np.arange(len(seg)) + need - 1
         fits = ahead < len(seg)
         ahead = np.minimum(ahead, len(seg) - 1)
         ok = fits & (seg[ahead] == seg) & (band[ahead] == band) & (doc[ahead] - doc <= self.lengths[seg] + self.ks[seg])
-        done: set[tuple[int, int]] = set()
-        for i in np.flatnonzero(ok):
-            s, d = int(seg[i]), int(diagonal[i])
-            key = (s, int(band[i]), int(doc[i]) // (2 * SEGMENT))
-            if key not in done:
-                done.add(key)
-                yield s, d - self.k[s], d + int(self.lengths[s]) + 2 * self.k[s]
+        for s, b in dict.fromkeys(zip(seg[ok].tolist(), band[ok].tolist(), strict=True)):
+            w = self.k[s] + 1
+            yield s, b * w, (b + 2) * w - 1
 
 
 def blocks(benchmark: DataFrame, id_col: str, text: str, most_chars: int = BLOCK_CHARS):
@@ -171,7 +171,9 @@ def blocks(benchmark: DataFrame, id_col: str, text: str, most_chars: int = BLOCK
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, edits, start, end): each item found in each text; places in normalised bytes."""
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_id}` long, edits int, start long, `end` long"
+    item_type = benchmark.schema[item_id].dataType
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_id}` {item_type.simpleString()}, edits int, start long, `end` long"
+    as_arrow = to_arrow_type(item_type)
     rows = spread(docs.select(id_col, text))
     out = None
     for block in blocks(benchmark, item_id, item_text):
@@ -184,7 +186,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
                 ids, texts = b.column(0), b.column(1).to_pylist()
                 got = [(i, *m) for i, t in enumerate(texts) if t for m in index.find(t)]
                 at, item, edits, start, end = ([g[c] for g in got] for c in range(5))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(edits, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], [id_col, item_id, "edits", "start", "end"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(item, as_arrow), pa.array(edits, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], [id_col, item_id, "edits", "start", "end"])
 
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
