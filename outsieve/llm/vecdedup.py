@@ -11,8 +11,9 @@ Identical vectors are one class from the start, so a very common vector costs on
 
 Defined results: a vector that is null, empty, all zero, or holds a null or non-finite
 component links with nothing (n_links 0, its own component); vectors of different
-lengths don't link; repeated ids are rows of their own that link as their vectors do;
-labels and other columns are ignored.
+lengths don't link; repeated ids are rows of their own that link as their vectors do; a
+null id is the least only where a component has no other; labels and other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -140,12 +141,13 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embedding", thr
     fit = F.expr("__v is not null and size(__v) > 0 and forall(__v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(__v, x -> x <> 0)")
     rows = rows.withColumn("__v", F.when(fit, F.col("__v")))
     keyed = rows.withColumn("__key", F.when(F.col("__v").isNotNull(), F.struct(F.size("__v").alias("n"), F.xxhash64("__v").alias("h"), F.hash("__v").alias("g"))))
-    classes = scratch(keyed.where("__v is not null").groupBy("__key").agg(F.min("__id").alias("rep"), F.count("*").alias("m"), F.first("__v").alias("v")))
+    classes = keyed.where("__v is not null").groupBy("__key").agg(F.min("__id").alias("least"), F.count("*").alias("m"), F.first("__v").alias("v"))
+    classes = scratch(classes.withColumn("rep", F.monotonically_increasing_id()))  # numbers of the classes, fixed by being written
     n = classes.count()
     of_class = keyed.select("__id", "__key").join(classes.select("__key", "rep", "m"), "__key", "left")
 
     rate = 1.0 if n <= sample else sample / n
-    picked = classes.where(F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1_000_000)) < int(1e6 * rate)).select("v").limit(2 * sample).toPandas()["v"]
+    picked = classes.where(F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(1_000_000)) < int(1e6 * rate)).select("v").limit(2 * sample).toPandas()["v"]
     by_size: dict[int, list] = {}
     for v in picked:
         by_size.setdefault(len(v), []).append(v)
@@ -200,6 +202,9 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embedding", thr
     found = scratch(placed.groupBy("size", "leaf", "i", "j").applyInPandas(compare, "a long, b long, n long"))
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("__n"))
     comps = components(found.where("b is not null").select("a", "b"))
-    out = with_component(of_class.join(links, "rep", "left"), comps, "rep", "__c")
-    out = out.select(F.col("__id").alias(id_col), F.coalesce(F.col("m") - 1 + F.coalesce("__n", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), F.coalesce("__c", "__id").cast("long").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    named = with_component(classes.select("rep", "least"), comps, "rep", "__c")
+    least = named.groupBy("__c").agg(F.min("least").alias("__least"))
+    named = named.join(least, "__c").select("rep", "__least")
+    out = of_class.join(links, "rep", "left").join(named, "rep", "left")
+    out = out.select(F.col("__id").alias(id_col), F.coalesce(F.col("m") - 1 + F.coalesce("__n", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), F.coalesce("__least", "__id").alias("component_id"))
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
