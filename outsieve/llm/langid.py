@@ -7,9 +7,10 @@ probabilities come from expectation maximisation (forward-backward counts) over
 counts of a bounded, documented sample of labelled rows.
 
 Defined results: null or letterless text gives ``und`` with score 0; characters outside
-the vocabulary cost a fixed floor; a run of over 64 letters counts as pre-tokens of 64;
-ties go to the language that sorts first. Extra columns are ignored, repeated rows each
-get a row. Without any labelled row every text is ``und``.
+the vocabulary cost a fixed floor; runs of letters count whole, however long (sums over
+those of more than LINEAR letters go in logarithms, where no product can vanish); ties go
+to the language that sorts first. Extra columns are ignored, repeated rows each get a
+row. Without any labelled row every text is ``und``.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ from .common import scratch, sole_cache, spread
 
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_LONGEST = 64
+#: Products over a word of so many letters stay within double precision.
+LINEAR = 32
 _FLOOR = 1e-7
-_MOST_CACHED = 600_000
+_MOST_CACHED, _MOST_LETTERS = 600_000, 12_000_000
 _AT_ONCE = 4096
 
 
@@ -41,13 +43,7 @@ def default_vocabulary() -> str:
 
 def pre_tokens(text: str) -> list[str]:
     """Lower-cased runs of letters with a mark at their start."""
-    out = []
-    for w in _LETTERS.findall(text.lower()):
-        if len(w) <= _LONGEST:
-            out.append("▁" + w)
-        else:
-            out += ["▁" + w[i : i + _LONGEST] for i in range(0, len(w), _LONGEST)]
-    return out
+    return ["▁" + w for w in _LETTERS.findall(text.lower())]
 
 
 #: Arcs of one start and one end: start, end, rows of the words, pieces.
@@ -119,6 +115,60 @@ def forward(arcs: list[Arcs], lengths: np.ndarray, weights: list[np.ndarray], co
     return alpha, alpha[lengths, np.arange(n)]
 
 
+def forward_log(arcs: list[Arcs], lengths: np.ndarray, weights: list[np.ndarray], columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """``forward`` of logarithms: the same sums where products underflow."""
+    n = len(lengths)
+    alpha = np.full((int(lengths.max(initial=0)) + 1, n, columns), -np.inf)
+    alpha[0] = 0
+    for (i, j, rows, _), w in zip(arcs, weights, strict=True):
+        alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + w)
+    return alpha, alpha[lengths, np.arange(n)]
+
+
+def log_totals(lattice: Lattice, words: list[str], table: np.ndarray) -> np.ndarray:
+    """Log of each word's sum over all segmentations, by language."""
+    out = np.zeros((len(words), table.shape[1]))
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    short, long = np.flatnonzero(size <= LINEAR), np.flatnonzero(size > LINEAR)
+    for at in range(0, len(short), _AT_ONCE):
+        part = short[at : at + _AT_ONCE]
+        arcs, lengths = lattice.arcs([words[i] for i in part])
+        out[part] = np.log(forward(arcs, lengths, [table[p] for _, _, _, p in arcs], table.shape[1])[1])
+    logs = np.log(table) if len(long) else table
+    for i in long:
+        arcs, lengths = lattice.arcs([words[i]])
+        out[i] = forward_log(arcs, lengths, [logs[p] for _, _, _, p in arcs], table.shape[1])[1][0]
+    return out
+
+
+def expected_counts(lattice: Lattice, words: list[str], labels: np.ndarray, n: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Expected pieces of ``n`` words of each label, over all segmentations; of the table's shape."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    at_piece, share = [np.zeros(0, np.int64)], [np.zeros(0)]
+
+    def add(part: np.ndarray, log: bool) -> None:
+        lab = labels[part]
+        arcs, lengths = lattice.arcs([words[i] for i in part])
+        w = [table[p, lab[rs]][:, None] for _, _, rs, p in arcs]
+        w = [np.log(x) for x in w] if log else w
+        alpha, z = (forward_log if log else forward)(arcs, lengths, w, 1)
+        beta = np.full_like(alpha, -np.inf if log else 0)
+        beta[lengths, np.arange(len(part))] = 0 if log else 1
+        for (i, j, rs, p), v in zip(reversed(arcs), reversed(w), strict=True):
+            on = v + beta[j, rs] if log else v * beta[j, rs]
+            beta[i, rs] = np.logaddexp(beta[i, rs], on) if log else beta[i, rs] + on
+            at_piece.append(p * table.shape[1] + lab[rs])
+            part_of = np.exp(alpha[i, rs, 0] + on[:, 0] - z[rs, 0]) if log else alpha[i, rs, 0] * on[:, 0] / z[rs, 0]
+            share.append(part_of * n[part][rs])
+
+    short, long = np.flatnonzero(size <= LINEAR), np.flatnonzero(size > LINEAR)
+    for at in range(0, len(short), _AT_ONCE):
+        add(short[at : at + _AT_ONCE], False)
+    for i in long:
+        add(np.array([i]), True)
+    return np.bincount(np.concatenate(at_piece), np.concatenate(share), table.size).reshape(table.shape)
+
+
 class Scores(dict):
     """Word -> row of log-probabilities by language; new words wait for ``flush``."""
 
@@ -128,9 +178,11 @@ class Scores(dict):
         self.rows = np.zeros((1024, table.shape[1]))
         self.lettered = np.zeros(1024, dtype=bool)
         self.waiting: list[str] = []
+        self.letters = 0
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
+        self.letters += len(word)
         self.waiting.append(word)
         return n
 
@@ -144,10 +196,8 @@ class Scores(dict):
         for at in range(0, len(self.waiting), _AT_ONCE):
             words = self.waiting[at : at + _AT_ONCE]
             has = np.fromiter((w[1:].isalpha() or any(map(str.isalpha, w)) for w in words), bool, len(words))
-            arcs, lengths = self.lattice.arcs(words)
-            _, total = forward(arcs, lengths, [self.table[p] for _, _, _, p in arcs], self.table.shape[1])
             rows = slice(first + at, first + at + len(words))
-            self.rows[rows] = np.log(np.maximum(total, 1e-300)) * has[:, None]
+            self.rows[rows] = log_totals(self.lattice, words, self.table) * has[:, None]
             self.lettered[rows] = has
         self.waiting = []
 
@@ -156,7 +206,7 @@ _CACHED: dict[str, Scores] = {}
 
 
 def _scores(key: str, path: str, table: np.ndarray) -> Scores:
-    if key not in _CACHED or len(_CACHED[key]) > _MOST_CACHED:
+    if key not in _CACHED or len(_CACHED[key]) > _MOST_CACHED or _CACHED[key].letters > _MOST_LETTERS:
         _CACHED.clear()
         _CACHED[key] = Scores(Lattice.of(path), table)
     return _CACHED[key]
@@ -202,20 +252,7 @@ def train(labelled: DataFrame, text: str, label: str, vocabulary: str, sample_pe
                 rows = [x for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
                 for at in range(0, len(rows), _AT_ONCE):
                     part = rows[at : at + _AT_ONCE]
-                    lab, n = np.array([r[0] for r in part]), np.array([r[2] for r in part], float)
-                    arcs, lengths = lat.arcs([r[1] for r in part])
-                    w = [t[p, lab[rs]][:, None] for _, _, rs, p in arcs]
-                    alpha, z = forward(arcs, lengths, w, 1)
-                    beta = np.zeros_like(alpha)
-                    beta[lengths, np.arange(len(part))] = 1
-                    each, at_piece, share = n / np.maximum(z[:, 0], 1e-300), [], []
-                    for (i, j, rs, p), v in zip(reversed(arcs), reversed(w), strict=True):
-                        on = v * beta[j, rs]
-                        beta[i, rs] += on
-                        at_piece.append(p * t.shape[1] + lab[rs])
-                        share.append(alpha[i, rs, 0] * on[:, 0] * each[rs])
-                    if share:
-                        total += np.bincount(np.concatenate(at_piece), np.concatenate(share), t.size).reshape(t.shape)
+                    total += expected_counts(lat, [r[1] for r in part], np.array([r[0] for r in part]), np.array([r[2] for r in part], float), t)
             p, k = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(total[p, k])], ["piece", "label", "n"])
 
