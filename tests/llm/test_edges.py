@@ -103,3 +103,45 @@ def test_pipeline_equals_brute_force(spark, tmp_path, bench):
     assert len(got) == len(kept) + 1  # document 53 has two rows with different texts
     assert all(r.round_trip for r in got)
     assert set(queries.QUERIES) >= {"pipeline", "op1_language_id", "op10_ngram_jaccard"}
+
+
+def test_op2_tells_rows_of_one_id_apart(spark):
+    rows = [(i, "stock line\nown text", f"s{i}") for i in range(9)] + [(5, "keep me A\nkeep me B", "s5"), (None, "stock line\nnameless", "s1")]
+    got = {(r.doc_id, r.text) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    # both lines of the first row are on nine sites; the nameless row stands before all
+    assert got == {(None, "stock line\nnameless"), (0, "own text"), (5, "keep me A\nkeep me B"), *((i, "") for i in range(1, 9))}
+
+
+def test_op3_item_without_id_and_ids_of_text(spark):
+    passage = "some other benchmark question that is long enough to hold a segment of its own, with words"
+    docs = spark.createDataFrame([(1, f"{passage} and more {passage.upper()} of it")], "doc_id long, text string")
+    for kind, known in (("long", 3), ("string", "q3")):
+        bench = spark.createDataFrame([(None, passage), (known, passage + " again"), (known, None)], f"item_id {kind}, text string")
+        assert {r.item_id for r in decontam.matches(docs, bench).collect()} >= {None}
+        assert decontam.clean(docs, bench).count() == 0
+
+
+def test_op4_rows_without_id(spark):
+    one, two = [1.0, 0.0, 0.2], [0.0, 1.0, 0.0]
+    rows = [(None, one), (2**60 + 1, one), (2**60 + 3, [1.0, 0.01, 0.2]), (None, two), (4, None)]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in vecdedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    least = 2**60 + 1
+    assert got == [(0, 0, 0, True), (0, 2, least, False), (4, 0, 4, True), (least, 2, least, True), (least + 2, 2, least, False)]
+
+
+def test_op6_null_edits(spark):
+    rows = [(1, "one two three", [(None, 3, "x"), (0, 3, None), (4, 4, "and ")]), (2, "kept", None), (3, None, [(0, 1, "y")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, changes array<struct<start:int,end:int,text:string>>")
+    got = {r.doc_id: r for r in tokencount.count(docs, edits="changes", texts=True).collect()}
+    assert got[1].edited == " twoand  three" and got[2].edited == "kept" and got[3].n_tokens is None
+
+
+def test_op7_repeated_null_and_textual_ids(spark):
+    rnd = random.Random(3)
+    text = lambda n: " ".join(rnd.choice(LATIN) + str(rnd.randint(0, 60)) for _ in range(n))
+    shared = text(70)
+    rows = [(1, shared + " " + text(30)), (2, text(20) + " " + shared), (2, text(300)), (None, text(10) + " " + shared)]
+    got = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.src_doc_id, r.matched) for r in got} in ({(1, 2, 70), (1, None, 70), (None, 2, 70)}, {(1, 2, 70), (1, None, 70), (2, None, 70)}, {(1, 2, 70), (None, 2, 70)}, {(1, None, 70), (2, None, 70)})
+    named = chaining.passages(spark.createDataFrame([("a", shared), ("b", "x " + shared)], "doc_id string, text string")).collect()
+    assert [{r.doc_id, r.src_doc_id} for r in named] == [{"a", "b"}]

@@ -239,3 +239,87 @@ def test_op1_learns_and_marks_undetermined(spark):
     assert all(got[i].lang_pred == lang for i, _, lang in rows)
     assert [got[i].lang_pred for i in (90, 91, 92)] == ["und"] * 3 and got[1].held_out is not None
     assert d.where(F.col("doc_id") < 0).count() == 0 and langid.identify(d.where("doc_id < 0")).count() == 0
+
+
+def toy_lattice():
+    lattice = langid.Lattice.of(langid.default_vocabulary())
+    rng = np.random.default_rng(4)
+    table = rng.random((lattice.unknown + 1, 2)) / lattice.unknown
+    return lattice, table
+
+
+def all_cuts(word):
+    if not word:
+        yield []
+    for j in range(1, len(word) + 1):
+        for rest in all_cuts(word[j:]):
+            yield [word[:j], *rest]
+
+
+def test_op1_sums_all_segmentations():
+    """Against enumeration of every cut, and for long runs against exact fractions."""
+    from fractions import Fraction
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=langid.default_vocabulary())
+    lattice, table = toy_lattice()
+    allowed = sorted({p for p in (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))) if (b := p.lstrip("▁")) == b.lower() and len(p) - len(b) <= 1 and (not b or b.isalpha())})
+    place = {p: i for i, p in enumerate(allowed)}
+    weight = lambda p, k: table[place[p], k] if p in place else (table[lattice.unknown, k] if len(p) == 1 else 0.0)
+    for word in ("▁the", "▁stations", "▁日本語", "▁ouenque", "▁x"):
+        got = langid.log_totals(lattice, [word], table)[0]
+        for k in range(2):
+            assert np.isclose(got[k], np.log(sum(np.prod([weight(p, k) for p in cut]) for cut in all_cuts(word))))
+    for word in ("▁" + "thestationer" * 17, "▁" + "日本語" * 70):
+        assert len(word) > 200
+        got = langid.log_totals(lattice, [word], table)[0]
+        for k in range(2):
+            total = [Fraction(1)] + [Fraction(0)] * len(word)
+            for i in range(len(word)):
+                for j in range(i + 1, min(len(word), i + 24) + 1):
+                    if w := weight(word[i:j], k):
+                        total[j] += total[i] * Fraction(float(w))
+            exact = total[-1]
+            log = float(np.log(float(exact.numerator >> max(0, exact.numerator.bit_length() - 60)))) + max(0, exact.numerator.bit_length() - 60) * np.log(2)
+            log -= float(np.log(float(exact.denominator >> max(0, exact.denominator.bit_length() - 60)))) + max(0, exact.denominator.bit_length() - 60) * np.log(2)
+            assert np.isclose(got[k], log)
+
+
+def test_op1_counts_agree_in_logarithms(monkeypatch):
+    lattice, table = toy_lattice()
+    some = ["▁the", "▁stationery", "▁nicht", "▁schon"]
+    lab, n = np.array([0, 1, 0, 1]), np.array([1.0, 2.0, 3.0, 4.0])
+    linear = langid.expected_counts(lattice, some, lab, n, table)
+    monkeypatch.setattr(langid, "LINEAR", 0)
+    assert np.allclose(linear, langid.expected_counts(lattice, some, lab, n, table)) and linear.sum() > 0
+
+
+def test_op3_banded_distance_equals_the_whole_table():
+    rnd = random.Random(6)
+    for _ in range(300):
+        a = bytes(rnd.choice(b"abc") for _ in range(rnd.randint(1, 12)))
+        b = bytes(rnd.choice(b"abc") for _ in range(rnd.randint(0, 14)))
+        rows = [[0] * (len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            rows.append([i])
+            for j, y in enumerate(b, 1):
+                rows[i].append(min(rows[i - 1][j - 1] + (x != y), rows[i - 1][j] + 1, rows[i][j - 1] + 1))
+        assert decontam.distance_within(a, b, -len(a), len(b)) == min(rows[-1])
+
+
+def test_op3_finds_every_segment_within_the_budget():
+    """All (segment, region) whose edit distance is within the budget, by the whole table, are found by item."""
+    rnd = random.Random(8)
+    items = [(i, " ".join(words(rnd, 30))) for i in range(4)]
+    index = decontam.Index(items)
+    for _ in range(60):
+        i, t = rnd.choice(items)
+        part = list(decontam.normal(t).decode()[: rnd.choice([96, 150, 400])])
+        for _ in range(rnd.randint(0, 10)):
+            at = rnd.randrange(len(part))
+            part[at : at + rnd.randint(0, 1)] = rnd.choice(["", "q", "zz"])
+        text = " ".join(words(rnd, 12)) + " " + "".join(part) + " " + " ".join(words(rnd, 12))
+        data = decontam.normal(text)
+        true = {index.item[s] for s in range(len(index.text)) if decontam.distance_within(index.text[s], data, -len(index.text[s]), len(data)) <= index.k[s]}
+        assert {f[0] for f in index.find(text)} == true
