@@ -7,15 +7,61 @@ fitting is distributed, the model is a ``PipelineModel`` that saves and loads as
 
 from __future__ import annotations
 
+import hashlib
+import json
+from pathlib import Path
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, NGram, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .segments import segmented
+
 VOCABULARY, LEAST_DOCS, ROUNDS = 50_000, 2, 200
 
 
+def with_predictions(df: DataFrame, model: PipelineModel, key: str, text: str, name: str = "predictions") -> DataFrame:
+    """``df`` with a map from the content of each code segment of ``text`` to the model's prediction, null where it has none.
+
+    Distinct (key, content) pairs are predicted; ``key`` tells the rows apart.
+    """
+    code = segmented(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("__t")), F.col("__t"), "__s", classifier=None)
+    code = code.select(key, F.explode(F.filter("__s", lambda s: s["type"] == "code")).alias("__c")).select(key, F.col("__c.content").alias("text")).distinct()
+    maps = predict(code, model).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("text", "ml_pred"))).alias(name))
+    return df.drop(name).join(maps, key, "left")
+
+
+def intact(folder: str, manifest: str) -> list[str]:
+    """What differs between a saved model's files and its manifest (JSON: path below the folder -> {sha256, bytes})."""
+    with open(manifest, encoding="utf-8") as f:
+        known = json.load(f)
+    found = manifest_of(folder)
+    return [f"{p}: {'missing' if p not in found else 'not in the manifest' if p not in known else 'changed'}" for p in sorted({*known, *found}) if known.get(p) != found.get(p)]
+
+
+def manifest_of(folder: str) -> dict[str, dict]:
+    """SHA-256 and size of every file of a saved model."""
+    out = {}
+    for path in sorted(Path(folder).rglob("*")):
+        if path.is_file():
+            with path.open("rb") as f:
+                out[path.relative_to(folder).as_posix()] = {"sha256": hashlib.file_digest(f, "sha256").hexdigest(), "bytes": path.stat().st_size}
+    return out
+
+
+def load_trusted(folder: str, manifest: str, root: str) -> PipelineModel | None:
+    """The saved model, where it lies below ``root`` and is as its manifest says; None where there is none."""
+    if not Path(folder).exists():
+        return None
+    if not Path(folder).resolve().is_relative_to(Path(root).resolve()):
+        raise ValueError(f"{folder} isn't below {root}")
+    if wrong := intact(folder, manifest):
+        raise ValueError("; ".join(wrong))
+    return PipelineModel.load(folder)
+
+
 def balanced(samples: DataFrame, label: str) -> DataFrame:
     """``samples`` with ``weight``: rows over labels times the label's rows."""
     counts = samples.groupBy(label).agg(F.count("*").alias("__n"))

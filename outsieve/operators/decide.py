@@ -39,9 +39,11 @@ def message_key(found: Column, context: Context, bypass: bool = False) -> Column
     return F.coalesce(F.try_element_at(said, F.lit(1)), F.when(blocked(found, context, bypass), F.lit("blocked")))
 
 
-def message(key: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, F.coalesce(key, F.lit("blocked"))), F.lit(MESSAGES["blocked"]))
+def message(key: Column, messages: dict[str, str] | None = None) -> Column:
+    """The text of a key; ``messages``: of a loaded file, else the default ones."""
+    messages = messages or MESSAGES
+    table = F.create_map(*[F.lit(x) for kv in messages.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, F.coalesce(key, F.lit("blocked"))), F.lit(messages.get("blocked", MESSAGES["blocked"])))
 
 
 def replacement(f: Column) -> Column:

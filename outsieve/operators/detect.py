@@ -23,7 +23,7 @@ PHONES = {
     "phone_hi": r"(?U)\b(?:\+?91)?\s?[6-9]\d{4}\s?\d{5}\b",
     "phone_zh": r"(?U)\b(?:\+?86)?\s?1[3-9]\d{9}\b",
     "phone_ru": r"(?U)\b(?:\+?7|8)\s?\d{3}\s?\d{3}\s?\d{2}\s?\d{2}\b",
-    "phone": r"(?U)\b\+?\d[\d\s().-]{7,17}\d\b",
+    "phone": r"(?U)\b(?:\+?\d{1,3}[\s\-.]?)?(?:\(?\d{2,4}\)?[\s\-.]?){2,3}\d{2,4}\b",
 }
 IBANS = {"iban_tr": (r"(?iU)\bTR\d{2}(?:\s*\d{4}){5}\s*\d{2}\b", 26), "iban_de": (r"(?iU)\bDE\d{2}(?:\s*\d{4}){4}\s*\d{2}\b", 22)}
 TCKN = r"(?U)\b\d{11}\b"
@@ -70,6 +70,8 @@ SECRETS = {
 }
 MIXED = lambda v: v.rlike("[A-Z]") & v.rlike("[a-z]") & v.rlike("[0-9]")
 URL_MARK, COMMAND_MARK, SECRET_MARK = "[redacted-url]", "[command-blocked]", "[secret]"
+BLOB_MARKS, BLOB_PREVIEW = {"large_base64": "[base64-blob]", "large_hex": "[hex-blob]"}, "[truncated-blob]"
+URL_REASONS = {"ip": "ip_url", "ip_literal": "ip_url", "data": "data_url", "data_uri": "data_url", "risky_extension": "executable_ext"}
 
 
 def _rule(rule: Rule, text: Column) -> tuple[Column, object, object, dict] | None:
@@ -99,7 +101,7 @@ def _rule(rule: Rule, text: Column) -> tuple[Column, object, object, dict] | Non
         pattern, least = BLOBS[kind]
         flat = lambda v: F.regexp_replace(v, r"(?U)\s", "")
         check = (lambda v: (F.length(flat(v)) >= least) & (X.entropy(flat(v)) >= 4.5)) if kind == "large_base64" else (lambda v: F.length(flat(v)) >= least)
-        return X.spans(text, pattern, F.length(text) >= least), check, lambda v: F.lit("[blob-redacted]"), {"length": lambda v: F.length(flat(v))}
+        return X.spans(text, pattern, F.length(text) >= least), check, lambda v: F.lit(BLOB_MARKS[kind]), {"length": lambda v: F.length(flat(v)), "preview": lambda v: F.lit(BLOB_PREVIEW)}
     if rule.type == "secret" and kind in SECRETS:
         check = {"jwt": X.is_jwt, "aws_secret_key": lambda v: MIXED(v) & (X.entropy(v) >= 4.5), "high_entropy": lambda v: MIXED(v) & (X.entropy(v) >= 3.5)}.get(kind)
         mark = "[pem-private-key]" if kind == "pem_private_key" else SECRET_MARK
@@ -112,7 +114,7 @@ def _rule(rule: Rule, text: Column) -> tuple[Column, object, object, dict] | Non
         check = {"shortener": lambda v: X.hostname(v).isin(SHORTENERS), "suspicious_tld": lambda v: X.hostname(v).rlike("(?:" + "|".join(t.replace(".", "\\.") for t in TLDS) + ")$")}
         valid = lambda v: ~F.exists(F.split(X.hostname(v), r"\."), lambda o: (o.cast("int") > 255) | o.rlike("^0[0-9]"))
         gate = has("data:") if kind.startswith("data") else has("://")
-        return X.spans(text, URLS[kind], gate), check.get(kind, valid if kind.startswith("ip") else None), lambda v: F.lit(URL_MARK), {"reason": F.lit(kind), "preview": lambda v: X.preview(v, 48)}
+        return X.spans(text, URLS[kind], gate), check.get(kind, valid if kind.startswith("ip") else None), lambda v: F.lit(URL_MARK), {"reason": F.lit(URL_REASONS.get(kind, kind)), "preview": lambda v: X.preview(v, 48)}
     if rule.type == "cmd" and kind in COMMANDS:
         pattern, word = COMMANDS[kind]
         return X.spans(text, pattern, has(word)), None, lambda v: F.lit(COMMAND_MARK), {"reason": F.lit(kind), "preview": lambda v: X.preview(v, 60)}

@@ -20,6 +20,48 @@ def block_rate(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("requests"), F.sum(F.col("blocked").cast("long")).alias("blocked"), F.avg(F.col("blocked").cast("double")).alias("block_rate"))
 
 
+def severity_counts(results: DataFrame) -> DataFrame:
+    """Findings by severity as they were detected, those that validation drops included."""
+    return results.select(F.explode("severities").alias("severity")).groupBy("severity").agg(F.count("*").alias("hits"))
+
+
+def decision_rates(results: DataFrame, time: str, length: str = "1 minute") -> DataFrame:
+    """Blocked and allowed responses a second in each window."""
+    seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    got = results.groupBy(F.window(time, length).alias("w")).agg(n(F.col("blocked")).alias("b"), n(~F.col("blocked")).alias("a"))
+    return got.select(F.col("w.start").alias("start"), (F.col("b") / seconds).alias("blocked_per_second"), (F.col("a") / seconds).alias("allowed_per_second"))
+
+
+def explain_only_count(results: DataFrame) -> DataFrame:
+    """Segments taken for explanations."""
+    return results.agg(F.coalesce(F.sum(F.size(F.filter("segments", lambda s: s["explain_only"]))), F.lit(0)).cast("long").alias("explain_only"))
+
+
+def shadow_counts(results: DataFrame) -> DataFrame:
+    """(ml_pred, heuristic, final) of every predicted segment, whether they agree or not."""
+    word = lambda c: F.when(c, "educational").otherwise("command")
+    s = results.select(F.explode("segments").alias("s")).where("s.ml_pred is not null")
+    return s.groupBy("s.ml_pred", word(F.col("s.heuristic")).alias("heuristic"), word(F.col("s.explain_only")).alias("final")).agg(F.count("*").alias("n"))
+
+
+def matrix(results: DataFrame, scenario: str = "scenario") -> DataFrame:
+    """(scenario, blocked, risk_score, rules, actions): distinct rule ids and actions in order, '-' where none."""
+    joined = lambda field: F.coalesce(F.nullif(F.array_join(F.array_sort(F.array_distinct(F.transform("findings", lambda f: f[field]))), ", "), F.lit("")), F.lit("-"))
+    return results.select(scenario, "blocked", "risk_score", joined("rule_id").alias("rules"), joined("action").alias("actions"))
+
+
+def metric_lines(results: DataFrame, prefix: str = "outsieve") -> DataFrame:
+    """(line): counters of a table of results in the text format of metric scrapers, sorted by line."""
+    hits = results.select(F.explode("applied_rules").alias("label")).groupBy("label").count().select(F.lit("rule_hits_total").alias("name"), F.lit("rule_id").alias("key"), "label", "count")
+    severities = severity_counts(results).select(F.lit("rule_severity_total").alias("name"), F.lit("severity").alias("key"), F.col("severity").alias("label"), F.col("hits").alias("count"))
+    kinds = results.select(F.explode("segments").alias("s")).groupBy(F.col("s.type").alias("label")).count().select(F.lit("context_type_total").alias("name"), F.lit("type").alias("key"), "label", "count")
+    total = block_rate(results).select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(c, F.lit(0)).cast("long").alias("count")) for n, c in (("requests_total", F.col("requests")), ("blocked_total", F.col("blocked")))])).alias("t")).select("t.name", F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("label"), "t.count")
+    rows = hits.unionByName(severities).unionByName(kinds).unionByName(total)
+    label = F.when(F.col("key").isNull(), F.lit("")).otherwise(F.concat(F.lit("{"), F.col("key"), F.lit('="'), F.coalesce("label", F.lit("unknown")), F.lit('"}')))
+    return rows.select(F.concat(F.lit(f"{prefix}_"), "name", label, F.lit(" "), F.col("count").cast("string")).alias("line")).orderBy("line")
+
+
 def share(df: DataFrame, column: str) -> DataFrame:
     """Count and percentage of each value; the total is over groups, not rows."""
     got = df.groupBy(column).agg(F.count("*").alias("n"))

@@ -18,7 +18,9 @@ EXPLAIN_WORDS = [
 ]
 COMMAND_WORDS = ["curl", "wget", "powershell", "kubectl", "select", "insert", "delete"]
 WINDOW = 200
-SEGMENT = "array<struct<type:string,content:string,start:int,end:int,lang:string,url:string,link_text:string,fenced:boolean,raw:boolean,explain_only:boolean>>"
+SEGMENT = "array<struct<type:string,content:string,start:int,end:int,lang:string,url:string,link_text:string,fenced:boolean,raw:boolean,explain_only:boolean,ml_pred:string,heuristic:boolean>>"
+# Predictions that call a code segment an explanation, and those that call it a command.
+EXPLAINS, COMMANDS = ["educational", "explain_only", "text"], ["command", "executable", "malicious"]
 
 
 def _inside(s: Column, *ranges: Column) -> Column:
@@ -33,10 +35,12 @@ def predicted(content: Column) -> Column:
     return F.when(F.lower(content).rlike("|".join(COMMAND_WORDS)), "command").otherwise("text")
 
 
-def segmented(df: DataFrame, text: Column, name: str = "segments", classifier: str | None = "heuristic-v0") -> DataFrame:
+def segmented(df: DataFrame, text: Column, name: str = "segments", classifier: str | None = "heuristic-v0", predictions: str | None = None) -> DataFrame:
     """Add the segments in order; ``classifier``: None for hint words alone, or ``heuristic-v0``.
 
-    Each kind of span is a column of its own, so that no expression holds another twice.
+    ``predictions`` names a column map<string,string> from the content of a code segment to
+    a trained model's prediction, which then counts instead of the classifier; a segment
+    without one, or with an unknown one, goes by the hint words. Each kind of span is a column of its own, so that no expression holds another twice.
     """
     null = lambda t: F.lit(None).cast(t)
 
@@ -46,11 +50,13 @@ def segmented(df: DataFrame, text: Column, name: str = "segments", classifier: s
         return F.lower(around).rlike("|".join(EXPLAIN_WORDS))
 
     def code(s: Column, content: Column, lang: Column, fenced: bool) -> Column:
-        explain = hints(s) if classifier is None else predicted(content) == "text"
-        return F.struct(F.lit("code").alias("type"), content.alias("content"), s["start"].alias("start"), s["end"].alias("end"), lang.alias("lang"), null("string").alias("url"), null("string").alias("link_text"), F.lit(fenced).alias("fenced"), F.lit(False).alias("raw"), explain.alias("explain_only"))
+        said = F.try_element_at(F.col(predictions), content) if predictions else predicted(content) if classifier else null("string")
+        hinted = hints(s)
+        explain = F.coalesce(F.when(said.isin(EXPLAINS), True).when(said.isin(COMMANDS), False), hinted)
+        return F.struct(F.lit("code").alias("type"), content.alias("content"), s["start"].alias("start"), s["end"].alias("end"), lang.alias("lang"), null("string").alias("url"), null("string").alias("link_text"), F.lit(fenced).alias("fenced"), F.lit(False).alias("raw"), explain.alias("explain_only"), said.alias("ml_pred"), hinted.alias("heuristic"))
 
     def link(s: Column, url: Column, label: Column, raw: bool) -> Column:
-        return F.struct(F.lit("link").alias("type"), url.alias("content"), s["start"].alias("start"), s["end"].alias("end"), null("string").alias("lang"), url.alias("url"), label.alias("link_text"), F.lit(False).alias("fenced"), F.lit(raw).alias("raw"), F.lit(False).alias("explain_only"))
+        return F.struct(F.lit("link").alias("type"), url.alias("content"), s["start"].alias("start"), s["end"].alias("end"), null("string").alias("lang"), url.alias("url"), label.alias("link_text"), F.lit(False).alias("fenced"), F.lit(raw).alias("raw"), F.lit(False).alias("explain_only"), null("string").alias("ml_pred"), null("boolean").alias("heuristic"))
 
     tick = F.contains(text, F.lit("`"))
     fenced, inline, marked, raw = (F.col(f"__{c}") for c in ("fenced", "inline", "marked", "raw"))
@@ -69,7 +75,7 @@ def segmented(df: DataFrame, text: Column, name: str = "segments", classifier: s
 
     def prose(begin: Column, end: Column) -> Column:
         content = F.substr(text, begin + 1, end - begin)
-        one = F.array(F.struct(F.lit("text").alias("type"), content.alias("content"), begin.alias("start"), end.alias("end"), null("string").alias("lang"), null("string").alias("url"), null("string").alias("link_text"), F.lit(False).alias("fenced"), F.lit(False).alias("raw"), F.lit(False).alias("explain_only"))).cast(SEGMENT)
+        one = F.array(F.struct(F.lit("text").alias("type"), content.alias("content"), begin.alias("start"), end.alias("end"), null("string").alias("lang"), null("string").alias("url"), null("string").alias("link_text"), F.lit(False).alias("fenced"), F.lit(False).alias("raw"), F.lit(False).alias("explain_only"), null("string").alias("ml_pred"), null("boolean").alias("heuristic"))).cast(SEGMENT)
         return F.when((end > begin) & content.rlike(r"(?U)\S"), one).otherwise(F.array().cast(SEGMENT))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SEGMENT).alias("out"))
@@ -81,7 +87,15 @@ def segmented(df: DataFrame, text: Column, name: str = "segments", classifier: s
 def whole(text: Column) -> Column:
     """One prose segment: segmentation switched off."""
     null = lambda t: F.lit(None).cast(t)
-    return F.array(F.struct(F.lit("text").alias("type"), text.alias("content"), F.lit(0).alias("start"), F.length(text).alias("end"), null("string").alias("lang"), null("string").alias("url"), null("string").alias("link_text"), F.lit(False).alias("fenced"), F.lit(False).alias("raw"), F.lit(False).alias("explain_only"))).cast(SEGMENT)
+    return F.array(F.struct(F.lit("text").alias("type"), text.alias("content"), F.lit(0).alias("start"), F.length(text).alias("end"), null("string").alias("lang"), null("string").alias("url"), null("string").alias("link_text"), F.lit(False).alias("fenced"), F.lit(False).alias("raw"), F.lit(False).alias("explain_only"), null("string").alias("ml_pred"), null("boolean").alias("heuristic"))).cast(SEGMENT)
+
+
+def has_code(segs: Column) -> Column:
+    return F.exists(segs, lambda s: s["type"] == "code")
+
+
+def has_explain_only(segs: Column) -> Column:
+    return F.exists(segs, lambda s: s["explain_only"])
 
 
 def context_of(segs: Column, start: Column, end: Column) -> Column:

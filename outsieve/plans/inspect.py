@@ -20,12 +20,13 @@ def oversized(df: DataFrame, text: str = "response", most: int = MOST_BYTES) ->
     return df.where(size <= most), df.where(size > most)
 
 
-def _one(df: DataFrame, policy: Policy, text: str, tenant: str | None, classifier: str | None, parse: bool, bypass: bool, validate: bool) -> DataFrame:
+def _one(df: DataFrame, policy: Policy, text: str, tenant: str | None, classifier: str | None, parse: bool, bypass: bool, validate: bool, predictions: str | None) -> DataFrame:
     c = F.col
     df = X.normalise(df, text)
     t = c("norm.text")
-    df = segments.segmented(df, t, "segments", classifier) if parse else df.withColumn("segments", segments.whole(t))
+    df = segments.segmented(df, t, "segments", classifier, predictions) if parse else df.withColumn("segments", segments.whole(t))
     df = detect.detected(df, policy, t, c(tenant) if tenant else F.lit(None).cast("string"))
+    df = df.withColumn("severities", F.transform("findings", lambda f: f["severity"]))  # of all findings, before they are validated
     found = decide.valid_findings(c("findings")) if validate else c("findings")
     at = F.transform(found, lambda f: F.struct(f.alias("f"), segments.context_of(c("segments"), f["start"], f["end"]).alias("x")))
     df = df.withColumn("__at", at)
@@ -36,14 +37,17 @@ def _one(df: DataFrame, policy: Policy, text: str, tenant: str | None, classifie
     return df.withColumn("output", out).withColumn("policy_used", F.lit(policy.id))
 
 
-def inspect(df: DataFrame, policies: dict[str, Policy] | None = None, text: str = "response", policy_id: str | None = None, tenant: str | None = None, classifier: str | None = "heuristic-v0", parse: bool = True, bypass: bool = False, validate: bool = True) -> DataFrame:
-    """Rows of ``df`` with norm, segments, findings, blocked, risk_score, applied_rules, message_key, output.
+def inspect(df: DataFrame, policies: dict[str, Policy] | None = None, text: str = "response", policy_id: str | None = None, tenant: str | None = None, classifier: str | None = "heuristic-v0", parse: bool = True, bypass: bool = False, validate: bool = True, predictions: str | None = None, most_bytes: int | None = None) -> DataFrame:
+    """Rows of ``df`` with norm, segments, findings, severities, blocked, risk_score, applied_rules, message_key, output.
 
-    ``policy_id`` and ``tenant`` name columns. Rows are told apart by policy first, so
-    every policy's rules are constants of its own plan; no shuffle in any of them.
+    ``policy_id``, ``tenant`` and ``predictions`` name columns. Rows are told apart by policy
+    first, so every policy's rules are constants of its own plan; no shuffle in any of them.
+    With ``most_bytes`` larger texts are left out (``oversized`` gives them).
     """
+    if most_bytes is not None:
+        df = oversized(df, text, most_bytes)[0]
     policies = policies or {"default": DEFAULT}
-    run = lambda d, p: _one(d, p, text, tenant, classifier, parse, bypass, validate)
+    run = lambda d, p: _one(d, p, text, tenant, classifier, parse, bypass, validate, predictions)
     if policy_id is None or len(policies) == 1:
         return run(df, select(policies, None))
     key = F.coalesce(F.col(policy_id), F.lit(""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass, field
 
 FAMILIES = ("pii", "exfil", "secret", "url", "cmd")
@@ -138,18 +139,21 @@ def from_mapping(data: dict, id: str = "default") -> Policy:
     return Policy(id, rules, tuple(allow), Context(**{k: c[k] for k in Context.__dataclass_fields__ if k in c}))
 
 
-def load(path: str) -> dict[str, Policy]:
-    """Policies of a YAML (where PyYAML is installed) or JSON file, by id; one or a ``policies:`` map."""
+def _parsed(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         raw = f.read()
     if path.endswith(".json"):
-        data = json.loads(raw)
-    else:
-        try:
-            import yaml
-        except ImportError as e:
-            raise RuntimeError("YAML policies need PyYAML; JSON ones don't") from e
-        data = yaml.safe_load(raw)
+        return json.loads(raw) or {}
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("YAML files need PyYAML; JSON ones don't") from e
+    return yaml.safe_load(raw) or {}
+
+
+def load(path: str) -> dict[str, Policy]:
+    """Policies of a YAML (where PyYAML is installed) or JSON file, by id; one or a ``policies:`` map."""
+    data = _parsed(path)
     if not data:
         raise ValueError(f"empty policy file {path}")
     if "policies" in data:
@@ -161,3 +165,35 @@ def load(path: str) -> dict[str, Policy]:
 def select(policies: dict[str, Policy], id: str | None) -> Policy:
     """The policy of that id, else the default, else the first."""
     return policies.get(id or "") or policies.get("default") or next(iter(policies.values()))
+
+
+_LOADED: dict[str, tuple[int, dict[str, Policy]]] = {}
+
+
+def current(path: str) -> dict[str, Policy]:
+    """``load``, again only where the file changed: call it for each job or micro-batch."""
+    stamp = os.stat(path).st_mtime_ns
+    if path not in _LOADED or _LOADED[path][0] != stamp:
+        _LOADED[path] = (stamp, load(path))
+    return _LOADED[path][1]
+
+
+def forget(path: str | None = None) -> None:
+    """Drop what ``current`` holds of one file, or of all."""
+    if path is None:
+        _LOADED.clear()
+    else:
+        _LOADED.pop(path, None)
+
+
+def load_messages(path: str) -> dict[str, str]:
+    """Key -> text shown, from a file's ``safe_messages`` map of title and description; empty where the file is missing."""
+    if not os.path.exists(path):
+        return {}
+    entries = _parsed(path).get("safe_messages")
+    out = {}
+    for key, entry in entries.items() if isinstance(entries, dict) else ():
+        if isinstance(entry, dict):
+            said = [entry[k] for k in ("title", "description") if entry.get(k)]
+            out[str(key)] = ": ".join(said) if said else "Response blocked due to policy violation."
+    return out

@@ -31,12 +31,24 @@ def lenient_json_lines(spark: SparkSession, path: str, schema: str = SAMPLE) ->
     return got.where("r._bad is null").select("r.*").drop("_bad"), got.where("r._bad is not null").select("value")
 
 
+# What a training sample may say and the words its label asks for or forbids.
+LABELS, SEGMENT_TYPES = ["educational", "command", "text"], ["code", "text"]
+LANGUAGES = ["en", "de", "tr", "es", "fr", "zh", "ru", "pt", "ja", "ko"]
+TEACHING_WORDS = [
+    "warning", "never", "dangerous", "example", "caution", "avoid", "do not run", "unsafe", "malicious", "tutorial",
+    "warnung", "niemals", "uyarı", "asla", "advertencia", "nunca", "avertissement", "jamais", "警告", "切勿",
+]
+WARNING_WORDS = ["warning", "never", "dangerous", "caution", "avoid", "do not run", "unsafe", "example of", "demonstrates"]
+
+
 def sample_errors() -> Column:
     """Errors of a training sample: empty array where it is fine."""
     c = F.col
+    says = lambda words: F.coalesce(F.lower(c("text")).rlike("|".join(words)), F.lit(False))
     return F.array_compact(F.array(
-        F.when(F.coalesce(F.trim(c("text")), F.lit("")) == "", "text missing"), F.when(~F.coalesce(c("label").isin("educational", "command", "text"), F.lit(False)), "label unknown"),
-        F.when(~F.coalesce(c("segment_type").isin("code", "text"), F.lit(False)), "segment_type unknown"), F.when(c("language").isNotNull() & ~c("language").isin("en", "tr", "de", "fr", "es", "it", "pt", "hi", "zh", "ru"), "language unknown"),
+        F.when(F.coalesce(F.trim(c("text")), F.lit("")) == "", "text missing"), F.when(~F.coalesce(c("label").isin(LABELS), F.lit(False)), "label unknown"),
+        F.when(~F.coalesce(c("segment_type").isin(SEGMENT_TYPES), F.lit(False)), "segment_type unknown"), F.when(c("language").isNotNull() & ~c("language").isin(LANGUAGES), "language unknown"),
+        F.when((c("label") == "educational") & c("text").isNotNull() & ~says(TEACHING_WORDS), "educational without a warning word"), F.when((c("label") == "command") & says(WARNING_WORDS), "command with a warning word"),
     ))
 
 
