@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import rulecheck
 from .functions import text as X
-from .operators import decide, detect, reports, segments
+from .operators import detect, reports, segments
 from .plans.inspect import findings_of, inspect
 from .plans.policy import DEFAULT, Policy
 
@@ -119,33 +120,12 @@ def inspect_seeded(spark, sf_dir):
     return df.select("doc_id", F.array_join("applied_rules", ",").alias("rules"), "blocked", "risk_score")
 
 
-def redact_seeded(spark, sf_dir):
-    df = detect.detected(_seeded(spark, sf_dir), _only(DEFAULT, "PII-EMAIL", "PII-IPV4"), F.col("response"), F.lit(None).cast("string"))
-    return df.select("doc_id", decide.redacted(F.col("response"), F.col("findings")).alias("output"))
-
-
 def seg_counts(spark, sf_dir):
     df = segments.segmented(_seeded(spark, sf_dir), F.col("response"))
     one = F.explode("segments").alias("s")
     return df.select("doc_id", one).select("doc_id", F.col("s.type").alias("type"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
 
-def _seeded_hits(spark, sf_dir):
-    return findings_of(inspect(_seeded(spark, sf_dir), tenant="tenant"), "doc_id")
-
-
-def top10_rules(spark, sf_dir):
-    return reports.top_rules(_seeded_hits(spark, sf_dir))
-
-
-def hits_by_severity(spark, sf_dir):
-    return reports.hits_by(_seeded_hits(spark, sf_dir), "severity")
-
-
-def allowlist_antijoin(spark, sf_dir):
-    return _seeded_findings("PII-EMAIL")(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
 def _events(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
@@ -185,42 +165,24 @@ def golden_diff(spark, sf_dir):
 
 
 _EMAIL, _IP = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"
-_MASK = "CASE WHEN strpos(value, '@') <= 3 THEN value[1] || '*' ELSE value[1] || '***' || value[strpos(value, '@') - 1] END || substr(value, strpos(value, '@'))"
 
 QUERIES = {
     "inspect_documents": flagship,
     "pii_email": _spans(detect.EMAIL),
     "pii_ipv4": _spans(detect.IPV4),
     "pii_tckn_candidates": _spans(detect.TCKN),
-    "pii_email_seeded": _seeded_findings("PII-EMAIL"),
-    "pii_ipv4_seeded": _seeded_findings("PII-IPV4"),
     "pii_pan_luhn_seeded": _seeded_findings("PII-PAN"),
-    "secret_aws_seeded": _seeded_findings("SECRET-AWS-AK"),
-    "secret_github_seeded": _seeded_findings("SECRET-GITHUB"),
-    "cmd_curl_seeded": _seeded_findings("CMD-CURL-BASH"),
-    "cmd_rm_seeded": _seeded_findings("CMD-RM-RF"),
-    "url_shortener_seeded": _seeded_findings("URL-SHORTENER"),
-    "url_executable_seeded": _seeded_findings("URL-EXECUTABLE"),
-    **{f.__name__: f for f in (norm_obfuscation, norm_entity_count, norm_plain_steps, url_hostname, exfil_entropy, inspect_seeded, redact_seeded, seg_counts, top10_rules, hits_by_severity, allowlist_antijoin, hits_per_hour, rate_1m, context_pct, latency_quantile_bucketed, latency_percentile, label_scores, golden_diff)},
+    **{f.__name__: f for f in (norm_obfuscation, norm_entity_count, norm_plain_steps, url_hostname, exfil_entropy, inspect_seeded, seg_counts, hits_per_hour, rate_1m, context_pct, latency_quantile_bucketed, latency_percentile, label_scores, golden_diff)},
 }
 
 _CASE = lambda i, other: "CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN {v[i]!r}" for k, v in _EXPECTED.items()) + f" ELSE {other} END"
-_HITS = f"SELECT rule_id FROM (SELECT {_CASE(0, 'NULL')} AS rule_id FROM documents) WHERE rule_id IS NOT NULL"
 _BUCKET = " UNION ALL ".join(f"SELECT {i} AS i, {b} AS hi, {_BOUNDS[i - 1] if i else 0.0} AS lo, count(*) FILTER (value <= {b}) AS c, count(*) FILTER (value <= {_BOUNDS[i - 1] if i else -1e300}) AS below, count(value) AS total FROM events" for i, b in enumerate(_BOUNDS))
 
 ORACLE_SQL = {
     "pii_email": _spans_sql(_EMAIL),
     "pii_ipv4": _spans_sql(_IP),
     "pii_tckn_candidates": _spans_sql(r"\b\d{11}\b"),
-    "pii_email_seeded": f"SELECT * FROM ({_found_sql('PII-EMAIL', _EMAIL, _MASK)}) WHERE value <> 'support@company.com'",
-    "pii_ipv4_seeded": _found_sql("PII-IPV4", _IP, "'[ip-redacted]'"),
     "pii_pan_luhn_seeded": _found_sql("PII-PAN", "4111 1111 1111 1111 ", "'**** **** **** 1111'"),
-    "secret_aws_seeded": _found_sql("SECRET-AWS-AK", r"\bAKIA[0-9A-Z]{16}\b", "'[secret]'"),
-    "secret_github_seeded": _found_sql("SECRET-GITHUB", r"\bghp_[A-Za-z0-9]{36}", "'[secret]'"),
-    "cmd_curl_seeded": _found_sql("CMD-CURL-BASH", r"curl [^\n|]+\| bash", "'[command-blocked]'"),
-    "cmd_rm_seeded": _found_sql("CMD-RM-RF", r"rm -rf /[^ ]*", "'[command-blocked]'"),
-    "url_shortener_seeded": _found_sql("URL-SHORTENER", r"https://bit\.ly/[^ ]+", "'[redacted-url]'"),
-    "url_executable_seeded": _found_sql("URL-EXECUTABLE", r"https://[^ ]+?\.exe", "'[redacted-url]'"),
     "norm_obfuscation": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\[at\]|\(at\)|\{at\}|\bat\b', '@', 'g'), '(?i)\[dot\]|\(dot\)|\{dot\}|\bdot\b', '.', 'g'), '\s*@\s*', '@', 'g'), '\s*\.\s*', '.', 'g')) AS text_md5
       FROM documents""",
     "norm_entity_count": f"SELECT page_id, len(regexp_extract_all(html, '{X.ENTITY}')) AS entities FROM pages",
@@ -229,11 +191,6 @@ ORACLE_SQL = {
     "exfil_entropy": f"""SELECT doc_id, round(-sum(p * log2(p)), 6) AS bits FROM (SELECT doc_id, count(*) / max(n) AS p FROM (
       SELECT doc_id, length(response) AS n, unnest(string_split(response, '')) AS c FROM ({SEEDED})) GROUP BY doc_id, c) GROUP BY doc_id""",
     "inspect_seeded": f"SELECT doc_id, {_CASE(0, chr(39) * 2)} AS rules, {_CASE(1, 'false')} AS blocked, {_CASE(2, 0)} AS risk_score FROM documents",
-    "redact_seeded": f"""SELECT doc_id, CASE doc_id % 12 WHEN 2 THEN 'write to u***' || right('user' || doc_id, 1) || '@mail.test please' WHEN 3 THEN 'host [ip-redacted] is down'
-      WHEN 10 THEN 'mail support@company.com or ' || CASE WHEN doc_id < 10 THEN 'a*' ELSE 'a***' || right('' || doc_id, 1) END || '@b.test' ELSE response END AS output FROM ({SEEDED})""",
-    "top10_rules": f"SELECT rule_id, count(*) AS hits FROM ({_HITS}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
-    "hits_by_severity": "SELECT severity, count(*) AS hits FROM (SELECT CASE WHEN doc_id % 12 IN (2, 3, 4, 10) THEN 'medium' WHEN doc_id % 12 IN (5, 6, 8) THEN 'critical' WHEN doc_id % 12 IN (1, 7, 11) THEN 'high' END AS severity FROM documents) WHERE severity IS NOT NULL GROUP BY 1",
-    "allowlist_antijoin": "SELECT doc_id, 1 AS n FROM documents WHERE doc_id % 12 IN (2, 10)",
     "seg_counts": f"""SELECT doc_id, 'text' AS type, 0 AS start, length(response) AS "end" FROM ({SEEDED}) WHERE doc_id % 12 NOT IN (1, 4, 7, 9)
       UNION ALL SELECT doc_id, u.type, u.a, u.b FROM (SELECT doc_id, unnest(CASE doc_id % 12
         WHEN 9 THEN [{{'type': 'text', 'a': 0, 'b': 5}}, {{'type': 'code', 'a': 5, 'b': 14 + n}}, {{'type': 'text', 'a': 14 + n, 'b': 19 + n}}, {{'type': 'link', 'a': 19 + n, 'b': 41 + 2 * n}}, {{'type': 'text', 'a': 41 + 2 * n, 'b': l}}]
@@ -249,3 +206,6 @@ ORACLE_SQL = {
         SELECT quality AS label, count(*) FILTER (toxic = quality) AS hit, count(*) AS actual FROM labels GROUP BY 1))""",
     "golden_diff": "SELECT doc_id AS sample, CASE WHEN doc_id % 7 = 0 THEN 'missing' ELSE 'blocked' END AS difference FROM documents WHERE doc_id % 7 = 0 OR (doc_id % 3 = 0) <> (doc_id % 6 = 0)",
 }
+
+QUERIES |= rulecheck.QUERIES
+ORACLE_SQL |= rulecheck.ORACLE_SQL

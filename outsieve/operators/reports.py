@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 BUCKETS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0]
 
 
+def each(results: DataFrame, column: str, name: str) -> DataFrame:
+    """One row an entry of an array column; by ``explode_outer``, of which the optimiser infers no filter to push into the detectors."""
+    return results.select(F.explode_outer(column).alias(name)).where(F.col(name).isNotNull())
+
+
 def top_rules(findings: DataFrame, k: int = 10) -> DataFrame:
     return findings.groupBy("rule_id").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "rule_id").limit(k)
 
@@ -22,7 +27,7 @@ def block_rate(results: DataFrame) -> DataFrame:
 
 def severity_counts(results: DataFrame) -> DataFrame:
     """Findings by severity as they were detected, those that validation drops included."""
-    return results.select(F.explode("severities").alias("severity")).groupBy("severity").agg(F.count("*").alias("hits"))
+    return each(results, "severities", "severity").groupBy("severity").agg(F.count("*").alias("hits"))
 
 
 def decision_rates(results: DataFrame, time: str, length: str = "1 minute") -> DataFrame:
@@ -41,7 +46,7 @@ def explain_only_count(results: DataFrame) -> DataFrame:
 def shadow_counts(results: DataFrame) -> DataFrame:
     """(ml_pred, heuristic, final) of every predicted segment, whether they agree or not."""
     word = lambda c: F.when(c, "educational").otherwise("command")
-    s = results.select(F.explode("segments").alias("s")).where("s.ml_pred is not null")
+    s = each(results, "segments", "s").where("s.ml_pred is not null")
     return s.groupBy("s.ml_pred", word(F.col("s.heuristic")).alias("heuristic"), word(F.col("s.explain_only")).alias("final")).agg(F.count("*").alias("n"))
 
 
@@ -53,9 +58,9 @@ def matrix(results: DataFrame, scenario: str = "scenario") -> DataFrame:
 
 def metric_lines(results: DataFrame, prefix: str = "outsieve") -> DataFrame:
     """(line): counters of a table of results in the text format of metric scrapers, sorted by line."""
-    hits = results.select(F.explode("applied_rules").alias("label")).groupBy("label").count().select(F.lit("rule_hits_total").alias("name"), F.lit("rule_id").alias("key"), "label", "count")
+    hits = each(results, "applied_rules", "label").groupBy("label").count().select(F.lit("rule_hits_total").alias("name"), F.lit("rule_id").alias("key"), "label", "count")
     severities = severity_counts(results).select(F.lit("rule_severity_total").alias("name"), F.lit("severity").alias("key"), F.col("severity").alias("label"), F.col("hits").alias("count"))
-    kinds = results.select(F.explode("segments").alias("s")).groupBy(F.col("s.type").alias("label")).count().select(F.lit("context_type_total").alias("name"), F.lit("type").alias("key"), "label", "count")
+    kinds = each(results, "segments", "s").groupBy(F.col("s.type").alias("label")).count().select(F.lit("context_type_total").alias("name"), F.lit("type").alias("key"), "label", "count")
     total = block_rate(results).select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.coalesce(c, F.lit(0)).cast("long").alias("count")) for n, c in (("requests_total", F.col("requests")), ("blocked_total", F.col("blocked")))])).alias("t")).select("t.name", F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("label"), "t.count")
     rows = hits.unionByName(severities).unionByName(kinds).unionByName(total)
     label = F.when(F.col("key").isNull(), F.lit("")).otherwise(F.concat(F.lit("{"), F.col("key"), F.lit('="'), F.coalesce("label", F.lit("unknown")), F.lit('"}')))

@@ -69,8 +69,8 @@ def period_report(results: DataFrame, latency_ms: str | None = None) -> str:
         at = results.agg(F.avg(latency_ms), F.expr(f"percentile({latency_ms}, array(0.5, 0.95, 0.99))")).first()
         average = at[0] or 0.0
         lines += ["", "## Latency", "", *(f"- {n}: {v:.2f} ms" for n, v in zip(("average", "p50", "p95", "p99"), (average, *(at[1] or (0.0,) * 3)), strict=True))]
-    hits = results.select(F.explode("applied_rules").alias("rule_id"))
-    kinds = reports.share(results.select(F.explode("segments").alias("s")).select("s.type"), "type").select("type", "n", F.round("pct", 1).alias("pct")).orderBy(F.desc("n"), "type")
+    hits = reports.each(results, "applied_rules", "rule_id")
+    kinds = reports.share(reports.each(results, "segments", "s").select("s.type"), "type").select("type", "n", F.round("pct", 1).alias("pct")).orderBy(F.desc("n"), "type")
     lines += ["", "## Top rules", "", *table_lines(reports.top_rules(hits), ["Rule", "Hits"]), "", "## Contexts", "", *table_lines(kinds, ["Type", "Count", "%"])]
     lines += ["", f"Explanations: {explained}", "", "## Predictions", "", *table_lines(reports.shadow_counts(results).orderBy("ml_pred", "heuristic", "final"), ["Predicted", "Heuristic", "Final", "Count"])]
     advice = reports.recommendations(results.sparkSession.createDataFrame([(rate, float(average), int(explained))], "block_rate double, avg_latency_ms double, explain_only long")).first()["advice"]
