@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from .common import fresh, keyed, scratch, small_enough
 
 _NAME = r"\p{Lu}[\p{Ll}'-]{1,30}"
-#: Type and pattern, in order; no capturing groups, bounded repeats only.
+#: Type and pattern, in order; no capturing groups; repeats are bounded or possessive.
 PATTERNS = [
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b"),
     ("aws_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
-    ("password", r"\b(?:password|passwd|pwd)=[^\s\"'&*#$%]{6,64}"),
+    ("password", r"\b(?:password|passwd|pwd)=[^\s\"'&*#$%]{6,}+"),
     ("token", r"\b[0-9a-f]{40}\b"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("card", r"\b(?:[0-9]{4}[ -]?){3}[0-9]{4}\b"),

@@ -164,6 +164,12 @@ def test_op5_phones_of_one_country_stay_distinct(spark):
     assert got[5000] == got[0].replace(" ", "")
 
 
+def test_op5_replaces_long_entities_whole(spark):
+    mail, password = "q" * 70 + "@mail9.example.com", "password=" + "k7" * 40
+    got = surrogate.pseudonymise(spark.createDataFrame([(1, f"to {mail} with {password} end")], "doc_id long, text string"), "key").first().text
+    assert "qqqq" not in got and "k7k7" not in got and got.startswith("to ") and got.endswith(" end") and " with password=" in got
+
+
 def test_op6_equals_full_encoding():
     counter = tokencount.Counter.of(tokencount.default_ranks())
     rnd = random.Random(3)
