@@ -98,6 +98,16 @@ def test_op10_copies_without_id_link(spark):
     assert got == [(0, 0, 0), (0, 1, 0), (0, 4, 7), (7, 4, 7), (9, 4, 7), (11, 1, 11), (11, 4, 7), (11, 5, 7)]
 
 
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 26])
+def test_op10_filter_of_texts_loses_no_wanted_row(spark, bits):
+    rows = spark.range(5000).selectExpr("if(id % 1000 = 7, null, id) as i", "xxhash64(id) as h")
+    wanted = rows.where("h % 10 = 0 or i is null").selectExpr("i as r", "h as g")
+    got = ngramjoin._perhaps_in(rows, ["i", "h"], wanted, ["r", "g"], bits)
+    assert wanted.exceptAll(got).count() == 0
+    assert got.count() <= rows.count() // 2
+    assert ngramjoin._perhaps_in(rows, ["i", "h"], wanted.limit(0), ["r", "g"], bits).count() == 0
+
+
 def test_op2_removes_spread_lines_but_the_first(spark):
     rows = [(i, f"own {i}\nshared\n", f"s{i % 9}") for i in range(18)] + [(99, None, "s1"), (98, "shared", None)]
     got = {r.doc_id: r for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=8, counts=True).collect()}
