@@ -7,7 +7,9 @@ from SHA-256 of key, type, entity and attempt; the surrogate keeps each occurren
 format: digits stay digits, letters keep case and script, punctuation stays, country
 codes, titles and prefixes stay, a person keeps the gender the title shows, a card keeps
 whether its check digit holds. The entity's surrogate is the same everywhere
-(coreference). Collision checks: surrogates that equal a real entity or another's
+(coreference). Given names and surnames are entities of their own, so a surname alone gets
+the surname that stands in the full name's surrogate; a phone in a national form, which
+here is always one of country code 1, is the phone that shows the code. Collision checks: surrogates that equal a real entity or another's
 surrogate move to the next attempt until all are distinct. A phone's surrogate holds the
 country code that some occurrence of it shows, so what is compared is what is written.
 
@@ -38,6 +40,8 @@ PATTERNS = [
     ("phone", r"\+[0-9]{1,3}[ -]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}\b|(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9-])"),
     ("person", rf"(?<!\p{{L}})(?:Mrs|Mr|Ms|Miss|Herrn|Herr|Frau|Señora|Señor|Monsieur|Madame|Mme|Господин|Госпожа)\.? {_NAME}(?: {_NAME})?"),
 ]
+#: The one country code whose national forms the phone pattern takes.
+NATIONAL = "1"
 ALL = "|".join(p for _, p in PATTERNS)
 FEMALE = "^(?:Mrs|Ms|Miss|Frau|Señora|Madame|Mme|Госпожа)"
 _SYLLABLES = ["la", "mi", "ro", "ne", "da", "ve", "so", "ti", "ka", "be", "no", "lu", "ra", "pe", "go", "si"]
@@ -62,7 +66,8 @@ def fixed_part(kind: Column, match: Column) -> Column:
 def canonical(kind: Column, match: Column) -> Column:
     digits = F.regexp_replace(match, "[^0-9]", "")
     return (
-        F.when(kind.isin("phone", "card", "ssn"), digits)
+        F.when(kind == "phone", F.when(match.startswith("+"), digits).otherwise(F.concat(F.lit(NATIONAL), digits)))
+        .when(kind.isin("card", "ssn"), digits)
         .when(kind == "iban", F.regexp_replace(match, " ", ""))
         .when(kind == "email", F.lower(match))
         .when(kind == "person", F.concat(F.when(match.rlike(FEMALE), "f:").otherwise("m:"), F.regexp_replace(match, r"^\p{L}+\.? ", "")))
@@ -70,6 +75,15 @@ def canonical(kind: Column, match: Column) -> Column:
     )
 
 
+def parts(kind: Column, canon: Column) -> Column:
+    """The entities that an occurrence is made of, in order: a person's names, else itself."""
+    names = F.split(F.substring(canon, 3, 200), " ")
+    part = lambda k, c: F.struct(k.alias("kind"), c.alias("canon"))
+    last = part(F.lit("surname"), F.element_at(names, -1))
+    given = part(F.lit("given"), F.concat(F.substring(canon, 1, 2), F.element_at(names, 1)))
+    return F.when(kind != "person", F.array(part(kind, canon))).when(F.size(names) > 1, F.array(given, last)).otherwise(F.array(last))
+
+
 def _at(digest: Column, i: Column, n: int) -> Column:
     """A number below n from byte i of a hex digest, varied past its length."""
     byte = F.conv(F.substr(digest, (i % 31) * 2 + 1, F.lit(4)), 16, 10).cast("int")
@@ -103,18 +117,19 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x)
 
 
-def _name(digest: Column, female: Column, cyrillic: Column, at: int, first: bool) -> Column:
-    def build(syllables: list[str], f: str, m: str) -> Column:
-        table = F.array(*map(F.lit, syllables))
-        parts = [F.element_at(table, _at(digest, F.lit(at + j), 16) + 1) for j in range(2 if first else 4)]
-        end = F.when(female, f).otherwise(m) if first else F.lit("")
-        return F.concat(F.initcap(F.concat(*parts)), end)
+def _name(digest: Column, cyrillic: Column, attempt: Column) -> Column:
+    """A name of four syllables, longer after many collisions, so that there is room for any number."""
+    syllables = F.when(attempt < 4, 4).when(attempt < 8, 6).otherwise(10)
+
+    def build(table: list[str]) -> Column:
+        one = lambda j: F.element_at(F.array(*map(F.lit, table)), _at(digest, j, 16) + 1)
+        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), syllables - 1), one), ""))
 
-    return F.when(cyrillic, build(_CYRILLIC, "на", "н")).otherwise(build(_SYLLABLES, "na", "n"))
+    return F.when(cyrillic, build(_CYRILLIC)).otherwise(build(_SYLLABLES))
 
 
 def surrogate(kind: Column, canon: Column, digest: Column) -> Column:
-    """Canonical surrogate of a canonical entity, with the first ``__keep`` digits of a phone as they are."""
+    """Canonical surrogate of a canonical entity (row with attempt), with the first ``__keep`` digits of a phone as they are."""
     octet = lambda i, lo, n: (F.lit(lo) + _at(digest, F.lit(i), n)).cast("string")
     ip = F.concat_ws(".", octet(0, 240, 15), octet(3, 0, 256), octet(6, 0, 256), octet(9, 1, 254))
     email = F.concat(_mapped(F.substring_index(canon, "@", 1), digest), F.lit("@"), F.substring(F.translate(digest, "0123456789", "ghijklmnop"), 40, 8), F.lit(".example."), F.substring_index(canon, ".", -1))
@@ -123,16 +138,16 @@ def surrogate(kind: Column, canon: Column, digest: Column) -> Column:
     check = (10 - _luhn_sum(body) % 10) % 10
     card = F.concat(body, F.when(F.expr("luhn_check(__canon)"), check).otherwise((check + 1 + _at(digest, F.lit(29), 9)) % 10).cast("string"))
     female, cyrillic = canon.startswith("f:"), canon.rlike(r"\p{IsCyrillic}")
-    two = F.size(F.split(F.substring(canon, 3, 200), " ")) > 1
-    last = _name(digest, female, cyrillic, 4, False)
-    person = F.concat(F.substring(canon, 1, 2), F.when(two, F.concat(_name(digest, female, cyrillic, 0, True), F.lit(" "), last)).otherwise(last))
+    name = _name(digest, cyrillic, F.col("attempt"))
+    end = F.when(cyrillic, F.when(female, "на").otherwise("н")).otherwise(F.when(female, "na").otherwise("n"))
     return (
         F.when(kind == "ipv4", ip)
         .when(kind == "email", email)
         .when(kind == "card", card)
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_mapped(canon, digest), 2, 99)))
         .when(kind == "token", F.substring(digest, 1, 40))
-        .when(kind == "person", person)
+        .when(kind == "given", F.concat(F.substring(canon, 1, 2), name, end))
+        .when(kind == "surname", name)
         .when(kind == "aws_key", F.concat(F.substring(canon, 1, 4), _mapped(F.substring(canon, 5, 99), digest)))
         .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _mapped(F.substring(canon, 3, 99), digest)))
         .when(kind == "password", F.concat(F.substring_index(canon, "=", 1), F.lit("="), _mapped(F.substr(canon, F.instr(canon, "=") + 1), digest, True)))
@@ -163,13 +178,14 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 def _dressed(kind: Column, match: Column, fixed: Column, sur: Column) -> Column:
     """The surrogate in the occurrence's own format."""
     rest = F.substr(match, F.length(fixed) + 1)
-    skip = F.length(F.regexp_replace(fixed, "[^0-9]", ""))
+    # the code's digits that the occurrence keeps, or leaves out in a national form
+    skip = F.length(sur) - F.length(F.regexp_replace(rest, "[^0-9]", ""))
     drawn = F.substr(sur, skip + 1)
     before = lambda i: F.length(F.regexp_replace(F.substr(rest, F.lit(1), i + 1), "[^0-9]", ""))
     digits = F.array_join(F.transform(F.split(rest, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(drawn, before(i), F.lit(1))).otherwise(c)), "")
     alnum = lambda i: F.length(F.regexp_replace(F.substr(match, F.lit(1), i + 1), "[^0-9A-Z]", ""))
     iban = F.array_join(F.transform(F.split(match, ""), lambda c, i: F.when(c.rlike("[0-9A-Z]"), F.substr(sur, alnum(i), F.lit(1))).otherwise(c)), "")
-    return F.when(kind.isin("phone", "card", "ssn"), F.concat(fixed, digits)).when(kind == "iban", iban).when(kind == "person", F.concat(fixed, F.substring(sur, 3, 200))).otherwise(sur)
+    return F.when(kind.isin("phone", "card", "ssn"), F.concat(fixed, digits)).when(kind == "iban", iban).when(kind == "given", F.substring(sur, 3, 200)).otherwise(sur)
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
@@ -180,11 +196,16 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text: str =
     plain = docs.where(~F.coalesce(F.col(text).rlike(ALL), F.lit(False)))
     found = scratch(hit.select(F.col(key_col).alias("__d"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(ALL), 0))).alias("__m")))
     kinds = found.select("__m").distinct().withColumn("__kind", F.coalesce(kind_of(F.col("__m")), F.lit("other")))
-    kinds = scratch(kinds.withColumn("__canon", canonical(F.col("__kind"), F.col("__m"))))
-    kind, m = F.col("__kind"), F.col("__m")
-    kept = F.when(kind == "phone", F.length(F.regexp_replace(fixed_part(kind, m), "[^0-9]", ""))).otherwise(0)
+    kinds = kinds.withColumn("__canon", canonical(F.col("__kind"), F.col("__m"))).withColumn("__fixed", fixed_part(F.col("__kind"), F.col("__m")))
+    kinds = scratch(kinds.select("__m", "__fixed", F.posexplode(parts(F.col("__kind"), F.col("__canon"))).alias("__at", "__e")).select("__m", "__fixed", "__at", F.col("__e.kind").alias("__kind"), F.col("__e.canon").alias("__canon")))
+    kind, m, fixed = F.col("__kind"), F.col("__m"), F.col("__fixed")
+    code = F.when(m.startswith("+"), F.length(F.regexp_replace(fixed, "[^0-9]", ""))).otherwise(len(NATIONAL))
+    kept = F.when(kind == "phone", code).otherwise(0)
     drawn = assign(scratch(kinds.groupBy("__kind", "__canon").agg(F.max(kept).alias("__keep"))), key)
-    table = scratch(kinds.join(drawn, ["__kind", "__canon"]).select("__m", _dressed(kind, m, fixed_part(kind, m), F.col("sur")).alias("__r")))
+    dressed = kinds.join(drawn, ["__kind", "__canon"]).withColumn("__r", _dressed(kind, m, fixed, F.col("sur")))
+    titled = F.when(kind.isin("given", "surname") & (F.col("__at") == 0), F.concat(fixed, F.col("__r"))).otherwise(F.col("__r"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", titled.alias("r")))), lambda p: p["r"]), " ")
+    table = scratch(dressed.groupBy("__m").agg(whole.alias("__r")))
     maps = found.join(F.broadcast(table) if small_enough(table, 200_000) else table, "__m").groupBy("__d").agg(F.map_from_entries(F.collect_set(F.struct("__m", "__r"))).alias("__map"))
     by = fresh(docs, "__map")
     maps = maps.select(F.col("__d").alias(key_col), F.col("__map").alias(by))

@@ -174,6 +174,24 @@ def test_op5_phones_of_one_country_stay_distinct(spark):
     assert got[5000] == got[0].replace(" ", "")
 
 
+def test_op5_follows_surnames_and_national_phones(spark):
+    rows = [(1, "Mr. John Smith met Mrs. Smith; Mr. Smith called +1 415-555-0123, (415) 555-0123 or 415.555.0123"), (2, "Mrs. Jane Smith, Mr. John Doe, Frau Doe, Господин Иван Петров, Господин Петров")]
+    got = {r.doc_id: r.text for r in surrogate.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    first, last = re.match(r"Mr\. (\w+) (\w+) met", got[1]).groups()
+    assert f"met Mrs. {last}; Mr. {last} called" in got[1] and last != "Smith" and first != "John"
+    code, *national = re.search(r"\+1 (\d{3})-(\d{3})-(\d{4}), \((\d{3})\) (\d{3})-(\d{4}) or (\d{3})\.(\d{3})\.(\d{4})", got[1]).groups()
+    assert [code, *national[:2]] == national[2:5] == national[5:] != ["415", "555", "0123"]
+    jane, same, john, doe, frau, ivan, petrov, alone = re.match(r"Mrs\. (\w+) (\w+), Mr\. (\w+) (\w+), Frau (\w+), Господин (\w+) (\w+), Господин (\w+)", got[2]).groups()
+    assert same == last and john == first and doe == frau != last and petrov == alone and jane.endswith("na")
+    assert re.fullmatch("[А-Я][а-я]+", ivan + "") and re.fullmatch("[А-Я][а-я]+", petrov)
+
+
+def test_op5_names_beyond_four_syllables_stay_distinct(spark):
+    entities = spark.range(120_000).selectExpr("'surname' as __kind", "concat('X', translate(cast(id as string), '0123456789', 'abcdefghij')) as __canon", "0 as __keep")
+    got = surrogate.assign(entities, "key")
+    assert got.count() == got.select("sur").distinct().count() == 120_000
+
+
 def test_op5_replaces_long_entities_whole(spark):
     mail, password = "q" * 70 + "@mail9.example.com", "password=" + "k7" * 40
     got = surrogate.pseudonymise(spark.createDataFrame([(1, f"to {mail} with {password} end")], "doc_id long, text string"), "key").first().text
