@@ -1,19 +1,26 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The normaliser (dummy prefix, space to U+2581), the pieces and the byte fallback are
-compiled to a lexicon transducer: an arc per piece from a position to the position
-after it, and for a character outside the vocabulary an arc that writes its bytes. An
-input is composed with it lazily and the tropical-semiring shortest path is read off.
-
-For a unigram model an arc weighs minus the piece's score. For a BPE model the weight
-comes from the bigram machine on pairs of pieces: 0 where the pair stays apart when
-merged on its own, infinite where it doesn't. A sequence of pieces is the BPE encoding
-exactly where each neighbouring pair stays apart, so the one path of finite weight is
-the library's encoding, and one live state a position suffices.
+Three machines are compiled from the model file. The normaliser rewrites by the model's
+own rules (its character map, longest match first; white space removed, prefixed and
+written U+2581 as the model says). The lexicon is a trie of arcs (state, character) whose
+final states write a piece. Byte fallback is an arc for each character outside the
+lexicon, which writes its bytes, or the unknown id where the model has no bytes.
+
+An input is composed with them lazily, place by place, and the path of least weight in
+the tropical semiring is read off. The composition has no cycles, so for a unigram
+model, where an arc weighs minus the piece's score, places are relaxed in order (of
+paths of equal weight, where the library goes by the rounding of its 32-bit sums, the
+one found first stays). For a
+BPE model the weight comes from the bigram machine on pairs of pieces: 0 where the pair
+stays apart when merged on its own, infinite where it doesn't. A sequence of pieces is
+the BPE encoding exactly where each neighbouring pair stays apart, so the one path of
+finite weight is the library's encoding; with weights of 0 alone it may be looked for
+depth first, and one live state a position suffices.
 
 Inputs are cut before a run of U+2581 that follows another character and around
 newlines, where no piece crosses (checked when compiling), and each cut is composed once per
-worker while the bounded cache lasts. Null text gives null, empty text no ids.
+worker while the bounded cache lasts. Null text gives null, empty text no ids. Models
+with user-defined pieces, or with white space as a suffix, are refused.
 """
 
 from __future__ import annotations
@@ -32,35 +39,112 @@ MARK = "▁"
 _INFINITE = float("inf")
 
 
+class Normaliser:
+    """The machine before the lexicon: character map and white space, by the model's settings."""
+
+    def __init__(self, spec):
+        self.mark = MARK if spec.escape_whitespaces else " "
+        self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
+        blob = spec.precompiled_charsmap
+        size = int.from_bytes(blob[:4], "little") if blob else 0
+        self.units, self.written = np.frombuffer(blob[4 : 4 + size], "<u4").tolist(), blob[4 + size :]
+        self.rules: dict[str, str | None] = {}
+
+    @property
+    def identity(self) -> bool:
+        return not (self.units or self.squeeze)
+
+    def _longest(self, data: bytes, at: int) -> tuple[int, str]:
+        """(length, replacement) of the longest rule at a place: arcs of a double-array trie; length 0 where none is."""
+        units, found = self.units, (0, "")
+        base = (units[0] >> 10) << ((units[0] & 512) >> 6)
+        state = base
+        for n in range(at, len(data)):
+            state ^= data[n]
+            if state >= len(units) or units[state] & 0x800000FF != data[n]:
+                break
+            unit = units[state]
+            state ^= (unit >> 10) << ((unit & 512) >> 6)
+            if unit & 256:
+                start = units[state] & 0x7FFFFFFF
+                found = (n + 1 - at, self.written[start : self.written.index(0, start)].decode())
+        return found
+
+    def _mapped(self, text: str):
+        """What each rule, or each character without one, writes."""
+        if not self.units:
+            yield from text
+            return
+        data, at = text.encode(), 0
+        while at < len(data):
+            n, new = self._longest(data, at)
+            if not n:
+                n = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
+                new = data[at : at + n].decode()
+            yield new
+            at += n
+
+    def __call__(self, text: str) -> str:
+        if self.identity:
+            return (self.mark if self.prefix else "") + text.replace(" ", self.mark) if text else ""
+        out, space = [], self.squeeze
+        for new in self._mapped(text):
+            new = new.lstrip(" ") if space else new
+            if new:
+                out.append(new)
+                space = self.squeeze and new.endswith(" ")
+        whole = "".join(out).replace(" ", self.mark)
+        whole = whole.rstrip(self.mark) if self.squeeze else whole
+        return (self.mark if self.prefix else "") + whole if whole else ""
+
+
 class Transducer(dict):
     """Cut of a normalised input -> its ids as little-endian int32 bytes."""
 
-    _open: dict[tuple[str, str], Transducer] = {}
+    _open: dict[str, Transducer] = {}
 
     @classmethod
-    def of(cls, path: str, kind: str = "bpe") -> Transducer:
-        if (path, kind) not in cls._open:
-            cls._open[path, kind] = cls(path, kind)
-        return cls._open[path, kind]
+    def of(cls, path: str) -> Transducer:
+        if path not in cls._open:
+            cls._open[path] = cls(path)
+        return cls._open[path]
 
-    def __init__(self, path: str, kind: str = "bpe", most_cached: int = 400_000):
-        import sentencepiece
+    def __init__(self, path: str, most_cached: int = 400_000):
+        from sentencepiece import sentencepiece_model_pb2 as proto
 
         super().__init__()
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = sp.get_piece_size()
-        self.kind, self.most = kind, most_cached
-        self.unknown = sp.unk_id()
-        self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
-        self.id = {sp.id_to_piece(i): i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
-        self.score = {p: sp.get_score(i) for p, i in self.id.items()}
-        self.prefixes = {p[:i] for p in self.id for i in range(1, len(p) + 1)}
+        model = proto.ModelProto()
+        with open(path, "rb") as f:
+            model.ParseFromString(f.read())
+        kinds, trainer = proto.ModelProto.SentencePiece, model.trainer_spec
+        self.kind = {trainer.UNIGRAM: "unigram", trainer.BPE: "bpe"}.get(trainer.model_type)
+        if self.kind is None or trainer.treat_whitespace_as_suffix or any(p.type == kinds.USER_DEFINED for p in model.pieces):
+            raise ValueError(f"{path}: only unigram and BPE models without user-defined pieces or white space as a suffix")
+        self.most = most_cached
+        self.normalise = Normaliser(model.normalizer_spec)
+        pieces = list(enumerate(model.pieces))
+        self.unknown = next(i for i, p in pieces if p.type == kinds.UNKNOWN)
+        self.byte = {int(p.piece[3:5], 16): i for i, p in pieces if p.type == kinds.BYTE}
+        normal = [(i, p) for i, p in pieces if p.type == kinds.NORMAL]
+        self.score = {p.piece: p.score for _, p in normal}
+        #: what an arc for a character outside the lexicon weighs in a unigram model (fixed value: 10 under the least score)
+        self.strange = 10.0 - min(self.score.values())
+        self.arc: dict[int, int] = {}
+        self.final = [-1]
+        for i, p in normal:
+            state = 0
+            for c in p.piece:
+                state = self.arc.setdefault(state << 21 | ord(c), len(self.final))
+                if state == len(self.final):
+                    self.final.append(-1)
+            self.final[state] = i
+        self.id = {p.piece: i for i, p in normal}
         self.apart: dict[tuple[str, str], float] = {}
         self.last: dict[str, tuple[float, str, str] | None] = {}
         crossing = any(MARK in p.lstrip(MARK) for p in self.id)
         alone = "" if any("\n" in p for p in self.id) else "\n"
         self.cuts = None if crossing else re.compile(f"{alone}|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
-        out = [b""] * n
+        out = [b""] * len(pieces)
         for p, i in self.id.items():
             out[i] = p.replace(MARK, " ").encode()
         for b, i in self.byte.items():
@@ -136,9 +220,7 @@ class Transducer(dict):
                 limit, equal, a = x[0], False, x[2]
 
     def weight(self, before: str, piece: str) -> float:
-        """Tropical weight of the arc for ``piece`` from the state whose last piece is ``before``."""
-        if self.kind == "unigram":
-            return -self.score.get(piece, -1e6)
+        """Tropical weight of a BPE arc for ``piece`` from the state whose last piece is ``before``."""
         if not before:
             return _INFINITE if self.last_merge(piece) is None else 0.0
         if (w := self.apart.get((before, piece))) is None:
@@ -153,37 +235,27 @@ class Transducer(dict):
         if self.kind == "bpe":
             return self.free_path(s)
         n = len(s)
-        cost, last, came = [_INFINITE] * (n + 1), [""] * (n + 1), [0] * (n + 1)
-        cost[0] = 0.0
-        ids, prefixes, weight = self.id, self.prefixes, self.weight
+        cost, came = [0.0] + [_INFINITE] * n, [0] * (n + 1)
+        score, strange = self.score, -self.strange
         for i in range(n):
-            if cost[i] == _INFINITE:
-                continue
-            here, before = cost[i], last[i]
-            for j in range(i + 1, n + 1):
-                p = s[i:j]
-                if j > i + 1 and p not in prefixes:
-                    break
-                if p in ids or j == i + 1:
-                    c = here + weight(before, p)
-                    if c < cost[j]:
-                        cost[j], last[j], came[j] = c, p, i
-                if p not in prefixes:
-                    break
+            here = cost[i]
+            for j in self.ends(s, i):
+                if (c := here - score.get(s[i:j], strange)) < cost[j]:
+                    cost[j], came[j] = c, i
         out, at = [], n
         while at:
-            out.append(last[at])
+            out.append(s[came[at] : at])
             at = came[at]
         return out[::-1]
 
     def ends(self, s: str, i: int) -> list[int]:
-        """Where the pieces that start at ``i`` end, ascending."""
-        out, ids, prefixes = [i + 1] if i < len(s) else [], self.id, self.prefixes
-        for j in range(i + 2, len(s) + 1):
-            if (p := s[i:j]) not in prefixes:
+        """Where the arcs of the composition that leave place ``i`` end, ascending; the first character has one always."""
+        out, state, arc, final = [i + 1], 0, self.arc, self.final
+        for j in range(i, len(s)):
+            if (state := arc.get(state << 21 | ord(s[j]))) is None:
                 break
-            if p in ids:
-                out.append(j)
+            if j > i and final[state] >= 0:
+                out.append(j + 1)
         return out
 
     def free_path(self, s: str) -> list[str]:
@@ -192,7 +264,7 @@ class Transducer(dict):
         A place has one live state at most, so one that leads nowhere is entered once.
         """
         n, weight, dead = len(s), self.weight, set()
-        path, at, ahead = [], [0], [self.ends(s, 0)]
+        path, at, ahead = [], [0], [self.ends(s, 0) if s else []]
         while at[-1] < n:
             i, before, ends = at[-1], path[-1] if path else "", ahead[-1]
             while ends:
@@ -205,32 +277,41 @@ class Transducer(dict):
                 path.pop(), at.pop(), ahead.pop()
         return path
 
-    def normalise(self, text: str) -> str:
-        return MARK + text.replace(" ", MARK) if text else ""
-
     def encode(self, text: str) -> bytes:
         s = self.normalise(text)
         if not s:
             return b""
-        return b"".join(map(self.__getitem__, self.cuts.findall(s) if self.cuts else [s]))
+        out = b"".join(map(self.__getitem__, self.cuts.findall(s) if self.cuts else [s]))
+        if self.byte:
+            return out
+        ids = np.frombuffer(out, "<i4")  # a run of unknown characters is one unknown id
+        again = (ids == self.unknown) & (np.append(-1, ids[:-1]) == self.unknown)
+        return ids[~again].tobytes()
+
+    def plain(self, text: str) -> str:
+        """The text that decoding its ids must give: as normalised, U+2581 a space, without the prefix."""
+        if self.normalise.identity:
+            return text.replace(MARK, " ")
+        out = self.normalise(text).replace(MARK, " ")
+        return out[1:] if out and self.normalise.prefix else out
 
     def decode(self, ids: bytes | np.ndarray) -> str:
         a = np.frombuffer(ids, dtype="<i4") if isinstance(ids, bytes) else np.asarray(ids)
         out = b"".join(map(self.bytes_of.__getitem__, a.tolist())).decode("utf-8", "replace")
-        return out[1:] if out.startswith(" ") else out
+        return out[1:] if self.normalise.prefix and out.startswith(" ") else out
 
 
-def encode_column(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, kind: str = "bpe", ids: bool = True) -> DataFrame:
+def encode_column(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, ids: bool = True) -> DataFrame:
     """(id, n_tokens, ids_hash, round_trip[, ids]) of every whole text; null text gives nulls.
 
-    ``round_trip``: decoding the ids gives the text back (where U+2581 in the text counts
-    as a space). ``ids_hash``: xxHash64 of the little-endian int32 ids.
+    ``round_trip``: decoding the ids gives the normalised text back (where U+2581 counts
+    as a space); a model whose normaliser is the identity gives the text itself. ``ids_hash``: xxHash64 of the little-endian int32 ids.
     """
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batches):
         sole_cache("spfst", Transducer._open.clear)
-        t = Transducer.of(vocabulary, kind)
+        t = Transducer.of(vocabulary)
         for b in thin(batches):
             keys, texts = b.column(0), b.column(1).to_pylist()
             for at in range(0, len(texts), 500):
@@ -240,7 +321,7 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text: str = "text", v
                     keys.slice(at, len(part)),
                     pa.array([None if g is None else len(g) // 4 for g in got], pa.int64()),
                     pa.array([None if g is None else xxhash.xxh64_intdigest(g) - 2**63 for g in got], pa.int64()),
-                    pa.array([None if g is None else t.decode(g) == x.replace(MARK, " ") for g, x in zip(got, part, strict=True)], pa.bool_()),
+                    pa.array([None if g is None else t.decode(g) == t.plain(x) for g, x in zip(got, part, strict=True)], pa.bool_()),
                 ]
                 if ids:
                     columns.append(pa.array([None if g is None else np.frombuffer(g, "<i4") for g in got], pa.list_(pa.int32())))
@@ -250,12 +331,12 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text: str = "text", v
     return spread(docs.select(id_col, text)).mapInArrow(run, f"`{id_col}` {kind_of}, n_tokens long, ids_hash long, round_trip boolean" + ", ids array<int>" * ids)
 
 
-def decode_column(encoded: DataFrame, id_col: str = "doc_id", ids: str = "ids", vocabulary: str | None = None, kind: str = "bpe") -> DataFrame:
+def decode_column(encoded: DataFrame, id_col: str = "doc_id", ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """(id, text) from the ids; null ids give null text."""
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batches):
-        t = Transducer.of(vocabulary, kind)
+        t = Transducer.of(vocabulary)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else t.decode(np.array(x, dtype="<i4")) for x in b.column(1).to_pylist()], pa.string())], [id_col, "text"])
 
