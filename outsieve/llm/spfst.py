@@ -129,15 +129,13 @@ class Transducer(dict):
         self.score = {p.piece: p.score for _, p in normal}
         #: what an arc for a character outside the lexicon weighs in a unigram model (fixed value: 10 under the least score)
         self.strange = 10.0 - min(self.score.values())
-        self.arc: dict[int, int] = {}
-        self.final = [-1]
+        #: the start state; a state holds its arcs by character, a final one also "" and the id it writes
+        self.lexicon: dict = {}
         for i, p in normal:
-            state = 0
+            state = self.lexicon
             for c in p.piece:
-                state = self.arc.setdefault(state << 21 | ord(c), len(self.final))
-                if state == len(self.final):
-                    self.final.append(-1)
-            self.final[state] = i
+                state = state.setdefault(c, {})
+            state[""] = i
         self.id = {p.piece: i for i, p in normal}
         self.apart: dict[tuple[str, str], float] = {}
         self.last: dict[str, tuple[float, str, str] | None] = {}
@@ -250,11 +248,11 @@ class Transducer(dict):
 
     def ends(self, s: str, i: int) -> list[int]:
         """Where the arcs of the composition that leave place ``i`` end, ascending; the first character has one always."""
-        out, state, arc, final = [i + 1], 0, self.arc, self.final
+        out, state = [i + 1], self.lexicon
         for j in range(i, len(s)):
-            if (state := arc.get(state << 21 | ord(s[j]))) is None:
+            if (state := state.get(s[j])) is None:
                 break
-            if j > i and final[state] >= 0:
+            if j > i and "" in state:
                 out.append(j + 1)
         return out
 
