@@ -245,6 +245,39 @@ def test_op7_finds_a_passage_whose_parts_occur_earlier(spark):
         assert [(r.doc_id, r.src_doc_id, r.start, r.end) for r in chaining.passages(d).collect()] == [(n + 1, n, 25, 85)]
 
 
+def test_op7_finds_a_source_that_is_neither_first_nor_before(spark):
+    rnd = random.Random(21)
+    parts = [words(rnd, 17) for _ in range(3)]
+    one = [words(rnd, 20) + p + words(rnd, 20) for p in parts]
+    whole = [words(rnd, 15) + sum((p + words(rnd, 3) for p in parts), []) + words(rnd, 20) for _ in range(2)]
+    rows = [*enumerate(one), (10, whole[0]), *enumerate([p + words(rnd, 9) for p in parts], 20), (30, whole[1])]
+    got = chaining.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.src_doc_id, r.matched) for r in got] == [(30, 10, 51)]
+
+
+def test_op7_finds_hot_passages_of_any_two_documents(spark):
+    """Each half of a passage is hot and held by others before and between; both halves are in four documents only."""
+    rnd = random.Random(22)
+    one, two = words(rnd, 30), words(rnd, 30)
+    rows = [(i, words(rnd, 9) + (one if i % 2 else two) + words(rnd, 9)) for i in range(100)]
+    rows += [(i, words(rnd, 12) + one + words(rnd, 1) + two + words(rnd, 7)) for i in (20, 43, 61, 80)]
+    rows = [(n, w) for n, (_, w) in enumerate(sorted(rows, key=lambda r: r[0]))]
+    both = [n for n, w in rows if len(w) > 60]
+    got = chaining.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"), few=8).collect()
+    assert {(r.doc_id, r.src_doc_id) for r in got} == {(d, s) for d in both for s in both if s < d}
+
+
+@pytest.mark.parametrize("every", [4, 5, 7, 9])
+def test_op7_finds_passages_with_a_word_changed_every_few(spark, every):
+    rnd, rows = random.Random(every), []
+    for i in range(40):
+        passage = words(rnd, 70)
+        changed = [f"edit{i}x{j}" if j % every == every - 1 else w for j, w in enumerate(passage)]
+        rows += [(2 * i, words(rnd, 30) + passage + words(rnd, 30)), (2 * i + 1, words(rnd, 20) + changed + words(rnd, 20))]
+    got = {(r.doc_id, r.src_doc_id) for r in chaining.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    assert got <= {(2 * i + 1, 2 * i) for i in range(40)} and len(got) >= 34
+
+
 def test_op8_equals_the_library():
     import sentencepiece
 
