@@ -10,7 +10,9 @@ shingles. The join drops no link; shingles and sets are told apart by 64-bit has
    fixed share of the texts; it only steers cost, any order gives the same links.
 2. Star round: the sets of a prefix shingle are paired with its least set id, linear in
    the postings; the bitmap bound drops pairs, exact intersection of the survivors gives
-   links, and links give components.
+   links, and links give components. Then in a few turns each shingle of many sets pairs
+   those outside its largest component with PIVOTS sets inside, picked by hash: near copies of
+   one text, which the star leaves in many components, meet in one at linear cost.
 3. Tile round: where a shingle still meets sets of different components, pairs across
    components that sizes and the shingle's places let link are compared by bitmap, and
    survivors are intersected exactly. A shingle of over ``block`` sets deals them to
@@ -27,6 +29,7 @@ is the least only where a class has no other. Other columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ BLOCK = 256
 SAMPLE_EVERY, MOST_KNOWN = 8, 500_000
 #: A shingle known to be in more texts has its postings dealt to several tasks.
 HOT = 10_000
+#: Turns at most and pivots a turn, for shingles of more sets than MANY.
+TURNS, PIVOTS, MANY = 3, 32, 32
 #: Bits of the filter that spares texts of no candidate pair the shuffle: 8 MB, one in ten passes at about 7 million sets.
 FILTER_BITS = 1 << 26
 
@@ -208,7 +213,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, tex
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
 
     rows = heads.unionByName(tails).repartition("a", "g").sortWithinPartitions("a", "g", F.asc_nulls_first("b"))
-    return rows.mapInArrow(run, "a long, b long")
+    out = scratch(rows.mapInArrow(run, "a long, b long"))
+    discard(pairs, reps, texts)
+    return out
 
 
 def _tiles(percent: int):
@@ -289,6 +296,21 @@ def _shared_postings(sets: DataFrame, known: np.ndarray, hot: int) -> DataFrame:
     return rows.where("c > 1").select("set_id", "n", "pos", "tok", "c", "p")
 
 
+def _pivot_pairs(placed: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of each shingle's pivots, PIVOTS sets of its largest component, with its sets of other components.
+
+    Linear in the postings. Pivots go by a hash of shingle and turn, so that a set meets many of them.
+    """
+    rows = placed.where(f"c > {MANY}")
+    pivot = F.struct(F.xxhash64("tok", "set_id", F.lit(turn)).alias("x"), F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    part = F.pmod(F.xxhash64("set_id", "tok", F.lit(turn)), F.lit(PIVOTS)).alias("part")
+    each = rows.groupBy("tok", "comp", part).agg(F.count("*").alias("k"), F.min(pivot).alias("m")).groupBy("tok", "comp").agg(F.sum("k").alias("k"), F.collect_list("m").alias("m"))
+    main = each.groupBy("tok").agg(F.max(F.struct("k", "comp", "m")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    outside = rows.join(main, "tok").where(F.col("comp") != F.col("main.comp")).select(F.explode("main.m").alias("m"), "set_id", "n", "pos")
+    pairs = outside.select("m.*", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    return pairs.where(_places(percent)).select("a", "b", "na", "nb").distinct()
+
+
 def _few_pairs(left: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) of rows (tok, set_id, n, pos, comp) of shingles of few sets that places let link."""
     rows = left.groupBy("tok").agg(F.collect_list(F.struct(F.col("set_id").alias("s"), "n", F.col("pos").alias("p"), F.col("comp").alias("c"))).alias("r"))
@@ -305,7 +327,7 @@ def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return pairs.where(_may_link(percent)).select("a", "b")
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT, hashes: bool = False, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WORDS, percent: int = PERCENT, hashes: bool = False, block: int = BLOCK, hot: int = HOT, turns: int = TURNS) -> DataFrame:
     """(id, n_shingles, component_id[, text_hash]): size of the set, least id reachable by links."""
     known = _known_frequent(docs, text, k)
     sig = scratch(signatures(docs, known, id_col, text, k, percent))
@@ -321,17 +343,30 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = W
     # star round
     pairs = members.select("p.*", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).where("a <> b").where(_places(percent))
     pairs = scratch(_bounded(pairs.select("a", "b", "na", "nb").distinct(), bits, percent))
-    edges = scratch(_verify(pairs, sets, docs, id_col, text, k, percent))
+    edges = _verify(pairs, sets, docs, id_col, text, k, percent)
     star = components(edges)
+    place = lambda: with_component(members.select("tok", "set_id", "n", "pos", "c"), star, "set_id", "comp")
+
+    # turns of pivots: near copies that the star left apart join before the tiles would spell out their pairs
+    tested = [pairs]
+    for turn in range(turns):
+        some = scratch(_pivot_pairs(place(), percent, turn))
+        tested.append(scratch(_bounded(some, bits, percent)))
+        discard(some)
+        if tested[-1].isEmpty() or (new := _verify(tested[-1], sets, docs, id_col, text, k, percent)).isEmpty():
+            break
+        edges = edges.unionByName(new)
+        star = components(edges)
 
     # tile round
-    placed = with_component(members.select("tok", "set_id", "n", "pos", "c"), star, "set_id", "comp")
+    placed = place()
+    before = reduce(DataFrame.unionByName, [t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for t in tested])
     few = _bounded(_few_pairs(placed.where(f"c <= {block}"), percent), bits, percent)
     tiled = _tile_pairs(placed.where(f"c > {block}"), bits, percent, block)
-    more = scratch(few.unionByName(tiled).distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    more = scratch(few.unionByName(tiled).distinct().join(before, ["a", "b"], "left_anti"))
     edges = edges.unionByName(_verify(more, sets, docs, id_col, text, k, percent))
     comps = components(edges)
-    discard(members, pairs, more)
+    discard(members, more, *tested)
 
     # back from set ids to rows
     named = with_component(sets.select("set_id", "rep"), comps, "set_id", "cls")

@@ -75,6 +75,26 @@ def test_op10_tiles_of_a_hot_shingle_equal_brute_force(spark, block, hot):
     assert got == jaccard_rows(rows)
 
 
+def test_op10_turns_of_pivots_join_near_copies(spark):
+    """Of 400 near copies that the star leaves apart few are left to the tiles, whose pairs grow with the square."""
+    rnd = random.Random(31)
+    near, rows = words(rnd, 120), []
+    for i in range(400):
+        w = list(near)
+        for at in rnd.sample(range(120), 3):
+            w[at] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    tiles, made = ngramjoin._tile_pairs, []
+    for turns in (0, 3):
+        ngramjoin._tile_pairs = lambda *a: made.append(ngramjoin.scratch(tiles(*a).distinct())) or made[-1]
+        try:
+            got = ngramjoin.link(spark.createDataFrame(rows, "doc_id long, text string"), block=16, turns=turns).collect()
+        finally:
+            ngramjoin._tile_pairs = tiles
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_rows(rows)
+    assert made[1].count() < made[0].count() / 5
+
+
 def test_op10_tiles_without_a_star(spark):
     """The tile round alone, over components of one set each, gives every link between neighbouring size bands."""
     rnd = random.Random(12)
