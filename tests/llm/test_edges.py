@@ -1,6 +1,9 @@
 """Null ids, repeated rows, empty tables and clashing columns; the pipeline's stages against brute force."""
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,3 +148,19 @@ def test_op7_repeated_null_and_textual_ids(spark):
     assert {(r.doc_id, r.src_doc_id, r.matched) for r in got} in ({(1, 2, 70), (1, None, 70), (None, 2, 70)}, {(1, 2, 70), (1, None, 70), (2, None, 70)}, {(1, 2, 70), (None, 2, 70)}, {(1, None, 70), (2, None, 70)})
     named = chaining.passages(spark.createDataFrame([("a", shared), ("b", "x " + shared)], "doc_id string, text string")).collect()
     assert [{r.doc_id, r.src_doc_id} for r in named] == [{"a", "b"}]
+
+
+def test_workers_give_freed_memory_back():
+    """What an operator cached in a worker is back with the system when another one's task starts."""
+    script = """
+import numpy as np
+from outsieve.llm import common
+resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+held = {i: (i, str(i) * 20) for i in range(1_500_000)}
+common.sole_cache("one", held.clear)
+last = [object()]
+full = resident()
+common.sole_cache("two")
+assert full - resident() > 150_000_000, (full, resident())
+"""
+    subprocess.run([sys.executable, "-c", script], check=True, cwd=Path(__file__).parents[2])
