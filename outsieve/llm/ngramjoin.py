@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, grams, mix, scratch, semi, sole_cache, spread, thin, with_component, word_hashes
+from .common import components, discard, grams, joined, mix, scratch, semi, sole_cache, spread, thin, with_component, word_hashes
 
 WORDS, PERCENT = 5, 75
 #: Rows of a tile's side; a shingle of no more sets is one tile.
@@ -238,7 +238,7 @@ def _tiles(percent: int):
                 found.add((min(u, v), max(u, v)))
 
     def run(batches):
-        for b in batches:
+        for b in thin(batches, 1):
             found: set[tuple[int, int]] = set()
             for rows in b.column(0).to_pylist():
                 left, right = [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
@@ -343,8 +343,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = W
     # star round
     pairs = members.select("p.*", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).where("a <> b").where(_places(percent))
     pairs = scratch(_bounded(pairs.select("a", "b", "na", "nb").distinct(), bits, percent))
-    edges = _verify(pairs, sets, docs, id_col, text, k, percent)
-    star = components(edges)
+    star = components(_verify(pairs, sets, docs, id_col, text, k, percent))
     place = lambda: with_component(members.select("tok", "set_id", "n", "pos", "c"), star, "set_id", "comp")
 
     # turns of pivots: near copies that the star left apart join before the tiles would spell out their pairs
@@ -355,8 +354,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = W
         discard(some)
         if tested[-1].isEmpty() or (new := _verify(tested[-1], sets, docs, id_col, text, k, percent)).isEmpty():
             break
-        edges = edges.unionByName(new)
-        star = components(edges)
+        star = joined(star, new)
 
     # tile round
     placed = place()
@@ -364,8 +362,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = W
     few = _bounded(_few_pairs(placed.where(f"c <= {block}"), percent), bits, percent)
     tiled = _tile_pairs(placed.where(f"c > {block}"), bits, percent, block)
     more = scratch(few.unionByName(tiled).distinct().join(before, ["a", "b"], "left_anti"))
-    edges = edges.unionByName(_verify(more, sets, docs, id_col, text, k, percent))
-    comps = components(edges)
+    comps = joined(star, _verify(more, sets, docs, id_col, text, k, percent))
     discard(members, more, *tested)
 
     # back from set ids to rows

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from outsieve.llm import chaining, decontam, langid, license, linededup, ngramjoin, spfst, surrogate, tokencount, vecdedup
+from outsieve.llm import chaining, common, decontam, langid, license, linededup, ngramjoin, spfst, surrogate, tokencount, vecdedup
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 
@@ -95,6 +95,32 @@ def test_op10_turns_of_pivots_join_near_copies(spark):
     assert made[1].count() < made[0].count() / 5
 
 
+def test_op10_contracts_each_link_once(spark, monkeypatch):
+    """Later contractions get the distinct links between components, not all links again; the components are those of all links."""
+    rnd = random.Random(31)
+    near, rows = words(rnd, 120), []
+    for i in range(300):
+        w = list(near)
+        for at in rnd.sample(range(120), 1 if i % 10 == 0 else 2):
+            w[at] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    given, contract = [], common.components
+    for module in (common, ngramjoin):
+        monkeypatch.setattr(module, "components", lambda edges: given.append(edges.count()) or contract(edges))
+    got = ngramjoin.link(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_rows(rows)
+    assert given[0] > 0 and sum(given[1:]) <= len(rows)
+
+
+def test_joined_components_equal_those_of_all_edges(spark):
+    rnd = random.Random(8)
+    for n in (0, 40, 90):
+        first, more = ([(rnd.randrange(100), rnd.randrange(100)) for _ in range(m)] for m in (n, 40))
+        first, more = (spark.createDataFrame(x, "a long, b long") for x in (first, more))
+        got = common.joined(common.components(first), more).collect()
+        assert sorted(got) == sorted(common.components(first.unionByName(more)).collect())
+
+
 def test_op10_tiles_without_a_star(spark):
     """The tile round alone, over components of one set each, gives every link between neighbouring size bands."""
     rnd = random.Random(12)
