@@ -37,6 +37,8 @@ from .langid import default_vocabulary
 
 MARK = "▁"
 _INFINITE = float("inf")
+#: Cuts of a generation (two are kept) and pairs of pieces that a worker keeps; an executor holds as many workers as it has cores.
+MOST_CACHED, MOST_PAIRS = 100_000, 500_000
 
 
 class Normaliser:
@@ -109,7 +111,7 @@ class Transducer(dict):
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def __init__(self, path: str, most_cached: int = 400_000):
+    def __init__(self, path: str, most_cached: int = MOST_CACHED, most_pairs: int = MOST_PAIRS):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         super().__init__()
@@ -120,7 +122,9 @@ class Transducer(dict):
         self.kind = {trainer.UNIGRAM: "unigram", trainer.BPE: "bpe"}.get(trainer.model_type)
         if self.kind is None or trainer.treat_whitespace_as_suffix or any(p.type == kinds.USER_DEFINED for p in model.pieces):
             raise ValueError(f"{path}: only unigram and BPE models without user-defined pieces or white space as a suffix")
-        self.most = most_cached
+        self.most, self.most_pairs = most_cached, most_pairs
+        #: the generation before; of a full one, what is looked up again moves to the next
+        self.older: dict[str, bytes] = {}
         self.normalise = Normaliser(model.normalizer_spec)
         pieces = list(enumerate(model.pieces))
         self.unknown = next(i for i, p in pieces if p.type == kinds.UNKNOWN)
@@ -129,14 +133,14 @@ class Transducer(dict):
         self.score = {p.piece: p.score for _, p in normal}
         #: what an arc for a character outside the lexicon weighs in a unigram model (fixed value: 10 under the least score)
         self.strange = 10.0 - min(self.score.values())
-        #: the start state; a state holds its arcs by character, a final one also "" and the id it writes
+        #: the start state; a state holds its arcs by character, a final one also "" and the piece it writes (one object, which caches share)
         self.lexicon: dict = {}
-        for i, p in normal:
+        self.id = {p.piece: i for i, p in normal}
+        for p in self.id:
             state = self.lexicon
-            for c in p.piece:
+            for c in p:
                 state = state.setdefault(c, {})
-            state[""] = i
-        self.id = {p.piece: i for i, p in normal}
+            state[""] = p
         self.apart: dict[tuple[str, str], float] = {}
         self.last: dict[str, tuple[float, str, str] | None] = {}
         crossing = any(MARK in p.lstrip(MARK) for p in self.id)
@@ -152,7 +156,11 @@ class Transducer(dict):
 
     def __missing__(self, cut: str) -> bytes:
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
+        if (got := self.older.get(cut)) is not None:
+            self[cut] = got
+            return got
         ids: list[int] = []
         for p in self.shortest(cut):
             if (i := self.id.get(p)) is not None:
@@ -222,7 +230,7 @@ class Transducer(dict):
         if not before:
             return _INFINITE if self.last_merge(piece) is None else 0.0
         if (w := self.apart.get((before, piece))) is None:
-            if len(self.apart) > 1_000_000:
+            if len(self.apart) >= self.most_pairs:
                 self.apart.clear()
             ok = self.last_merge(piece) is not None and self.stays_apart(before, piece)
             w = self.apart[before, piece] = 0.0 if ok else _INFINITE
@@ -237,8 +245,8 @@ class Transducer(dict):
         score, strange = self.score, -self.strange
         for i in range(n):
             here = cost[i]
-            for j in self.ends(s, i):
-                if (c := here - score.get(s[i:j], strange)) < cost[j]:
+            for j, p in self.arcs(s, i):
+                if (c := here - score.get(p, strange)) < cost[j]:
                     cost[j], came[j] = c, i
         out, at = [], n
         while at:
@@ -246,14 +254,14 @@ class Transducer(dict):
             at = came[at]
         return out[::-1]
 
-    def ends(self, s: str, i: int) -> list[int]:
-        """Where the arcs of the composition that leave place ``i`` end, ascending; the first character has one always."""
-        out, state = [i + 1], self.lexicon
+    def arcs(self, s: str, i: int) -> list[tuple[int, str]]:
+        """(end, piece) of the arcs of the composition that leave place ``i``, by end; the first character has one always."""
+        out, state = [(i + 1, s[i])], self.lexicon
         for j in range(i, len(s)):
             if (state := state.get(s[j])) is None:
                 break
             if j > i and "" in state:
-                out.append(j + 1)
+                out.append((j + 1, state[""]))
         return out
 
     def free_path(self, s: str) -> list[str]:
@@ -262,13 +270,13 @@ class Transducer(dict):
         A place has one live state at most, so one that leads nowhere is entered once.
         """
         n, weight, dead = len(s), self.weight, set()
-        path, at, ahead = [], [0], [self.ends(s, 0) if s else []]
+        path, at, ahead = [], [0], [self.arcs(s, 0) if s else []]
         while at[-1] < n:
-            i, before, ends = at[-1], path[-1] if path else "", ahead[-1]
-            while ends:
-                j = ends.pop()
-                if j not in dead and weight(before, p := s[i:j]) == 0.0:
-                    path.append(p), at.append(j), ahead.append(self.ends(s, j))
+            i, before, arcs = at[-1], path[-1] if path else "", ahead[-1]
+            while arcs:
+                j, p = arcs.pop()
+                if j not in dead and weight(before, p) == 0.0:
+                    path.append(p), at.append(j), ahead.append(self.arcs(s, j) if j < n else [])
                     break
             else:
                 dead.add(i)

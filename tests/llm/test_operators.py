@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -486,3 +487,21 @@ def test_op3_finds_every_segment_within_the_budget():
         data = decontam.normal(text)
         true = {index.item[s] for s in range(len(index.text)) if decontam.distance_within(index.text[s], data, -len(index.text[s]), len(data)) <= index.k[s]}
         assert {f[0] for f in index.find(text)} == true
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    got = [r.n for r in common.spread(spark.range(20_000)).mapInArrow(sizes, "n long").collect()]
+    assert sum(got) == 20_000 and max(got) <= common.BATCH_ROWS
+
+
+def test_op8_caches_stay_bounded_and_give_the_same_ids():
+    rnd, whole = random.Random(14), spfst.Transducer.of(langid.default_vocabulary())
+    small = spfst.Transducer(langid.default_vocabulary(), most_cached=50, most_pairs=200)
+    for _ in range(40):
+        text = " ".join(words(rnd, 60))
+        assert small.encode(text) == whole.encode(text)
+        assert len(small) <= 50 and len(small.older) <= 50 and len(small.apart) <= 201
