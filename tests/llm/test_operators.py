@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -325,6 +326,29 @@ def test_op7_finds_passages_with_a_word_changed_every_few(spark, every):
     assert got <= {(2 * i + 1, 2 * i) for i in range(40)} and len(got) >= 34
 
 
+def shuffle_files(spark):
+    """Path -> bytes of the shuffle files on disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(i) for i in range(files.size())]
+    return {f.getPath(): f.length() for f in files if f.getName().startswith("shuffle_")}
+
+
+def test_op7_keeps_no_shuffle_files_of_its_scratch_tables(spark):
+    rnd = random.Random(31)
+    passage = words(rnd, 80)
+    rows = [(i, " ".join(words(rnd, 300) + (passage if i % 50 == 0 else []) + words(rnd, 300))) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    was, before = spark.conf.get(common.FREE_SHUFFLES), set(shuffle_files(spark))
+    out = chaining.passages(d)
+    for _ in range(40):
+        left = sum(n for f, n in shuffle_files(spark).items() if f not in before)
+        if left < 200_000:
+            break
+        time.sleep(0.25)
+    assert left < 200_000 and spark.conf.get(common.FREE_SHUFFLES) == was
+    assert {(r.doc_id, r.src_doc_id) for r in out.collect()} == {(50 * i, 50 * j) for i in range(4) for j in range(i)}
+
+
 def test_op8_equals_the_library():
     import sentencepiece
 
