@@ -529,3 +529,21 @@ def test_op8_caches_stay_bounded_and_give_the_same_ids():
         text = " ".join(words(rnd, 60))
         assert small.encode(text) == whole.encode(text)
         assert len(small) <= 50 and len(small.older) <= 50 and len(small.apart) <= 201
+
+
+def test_op7_seeds_are_those_of_every_place():
+    rnd = random.Random(41)
+    h = chaining.seeds(common.word_hashes(" ".join(words(rnd, 30) * 2)))
+    assert len(h) == 54 and (h[:24] == h[30:]).all() and len(set(h.tolist())) == 30
+
+
+def test_op7_finds_every_passage_of_few_seeds_and_each_of_its_copies(spark):
+    rnd, rows, twice = random.Random(42), [], words(random.Random(43), 60)
+    for i in range(40):
+        passage, every = words(rnd, 60), 6 + i % 2
+        changed = [f"edit{i}x{j}" if j % every == every - 1 else w for j, w in enumerate(passage)]
+        rows += [(2 * i, words(rnd, 30) + passage + words(rnd, 30)), (2 * i + 1, words(rnd, 20) + changed + words(rnd, 20))]
+    rows += [(90, twice + words(rnd, 9)), (91, words(rnd, 5) + twice + words(rnd, 70) + twice)]
+    got = chaining.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.src_doc_id) for r in got} == {(2 * i + 1, 2 * i) for i in range(40)} | {(91, 90)}
+    assert sorted((r.start, r.end) for r in got if r.doc_id == 91) == [(5, 65), (135, 195)]
