@@ -123,6 +123,16 @@ def test_joined_components_equal_those_of_all_edges(spark):
         assert sorted(got) == sorted(common.components(first.unionByName(more)).collect())
 
 
+def test_few_edges_are_contracted_in_one_task(spark, monkeypatch):
+    rnd = random.Random(44)
+    pairs = [(i, i + 1) for i in range(-40, 40)] + [(rnd.randrange(10**6), rnd.randrange(10**6)) for _ in range(3000)] + [(7 * 10**6, -(2**62) + i) for i in range(50)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    rounds = {(r.node, r.component) for r in common.components(edges, at_once=0).collect()}
+    made, scratch = [], common.scratch
+    monkeypatch.setattr(common, "scratch", lambda *a, **k: made.append(1) or scratch(*a, **k))
+    assert {(r.node, r.component) for r in common.components(edges).collect()} == rounds and len(made) == 2
+
+
 def test_op10_tiles_without_a_star(spark):
     """The tile round alone, over components of one set each, gives every link between neighbouring size bands."""
     rnd = random.Random(12)
