@@ -25,6 +25,7 @@ with user-defined pieces, or with white space as a suffix, are refused.
 
 from __future__ import annotations
 
+import gc
 import re
 
 import numpy as np
@@ -109,6 +110,7 @@ class Transducer(dict):
     def of(cls, path: str) -> Transducer:
         if path not in cls._open:
             cls._open[path] = cls(path)
+            gc.freeze()  # the lexicon's tables stay: collections of what paths leave behind needn't walk them
         return cls._open[path]
 
     def __init__(self, path: str, most_cached: int = MOST_CACHED, most_pairs: int = MOST_PAIRS):
@@ -161,14 +163,11 @@ class Transducer(dict):
         if (got := self.older.get(cut)) is not None:
             self[cut] = got
             return got
-        ids: list[int] = []
-        for p in self.shortest(cut):
-            if (i := self.id.get(p)) is not None:
-                ids.append(i)
-            elif self.byte:
-                ids += [self.byte[b] for b in p.encode()]
-            else:
-                ids.append(self.unknown)
+        pieces = self.shortest(cut)
+        ids = [*map(self.id.get, pieces)]
+        if None in ids:
+            strange = lambda p: [self.byte[b] for b in p.encode()] if self.byte else [self.unknown]
+            ids = [j for i, p in zip(ids, pieces, strict=True) for j in (strange(p) if i is None else (i,))]
         got = np.array(ids, dtype="<i4").tobytes()
         if len(cut) <= 256:
             self[cut] = got
@@ -267,20 +266,38 @@ class Transducer(dict):
     def free_path(self, s: str) -> list[str]:
         """Shortest path where weights are 0 or infinite: depth first, the longest piece first.
 
-        A place has one live state at most, so one that leads nowhere is entered once.
+        A place has one live state at most, so one that leads nowhere is entered once. The longest arc
+        is tried alone first: shorter ones are listed only where it fails.
         """
-        n, weight, dead = len(s), self.weight, set()
-        path, at, ahead = [], [0], [self.arcs(s, 0) if s else []]
-        while at[-1] < n:
-            i, before, arcs = at[-1], path[-1] if path else "", ahead[-1]
-            while arcs:
-                j, p = arcs.pop()
-                if j not in dead and weight(before, p) == 0.0:
-                    path.append(p), at.append(j), ahead.append(self.arcs(s, j) if j < n else [])
+        n, apart, weight, dead, start = len(s), self.apart, self.weight, set(), self.lexicon
+        path, at, ahead, i, before = [], [], [], 0, ""
+        while i < n:
+            state, p, j, end = start, s[i], i + 1, i
+            ends = None
+            for c in s[i:] if i else s:
+                if (state := state.get(c)) is None:
                     break
-            else:
-                dead.add(i)
-                path.pop(), at.pop(), ahead.pop()
+                end += 1
+                if "" in state:
+                    if end > i + 1:
+                        if ends is None:
+                            ends = [(j, p)]
+                        else:
+                            ends.append((j, p))
+                    j, p = end, state[""]
+            while True:
+                if j not in dead:
+                    w = apart.get((before, p)) if before else None
+                    if (weight(before, p) if w is None else w) == 0.0:
+                        path.append(p), at.append(i), ahead.append(ends)
+                        i, before = j, p
+                        break
+                while not ends:
+                    dead.add(i)
+                    i, ends = at.pop(), ahead.pop()
+                    path.pop()
+                    before = path[-1] if path else ""
+                j, p = ends.pop()
         return path
 
     def encode(self, text: str) -> bytes:
@@ -307,9 +324,11 @@ class Transducer(dict):
         return out[1:] if self.normalise.prefix and out.startswith(" ") else out
 
 
-def encode_column(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, ids: bool = True) -> DataFrame:
+def encode_column(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, ids: bool = True, most_cached: int = MOST_CACHED) -> DataFrame:
     """(id, n_tokens, ids_hash, round_trip[, ids]) of every whole text; null text gives nulls.
 
+    ``most_cached``: cuts of a generation that a worker keeps, which changes time and memory alone.
+
     ``round_trip``: decoding the ids gives the normalised text back (where U+2581 counts
     as a space); a model whose normaliser is the identity gives the text itself. ``ids_hash``: xxHash64 of the little-endian int32 ids.
     """
@@ -318,6 +337,7 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text: str = "text", v
     def run(batches):
         sole_cache("spfst", Transducer._open.clear)
         t = Transducer.of(vocabulary)
+        t.most = most_cached
         for b in thin(batches):
             keys, texts = b.column(0), b.column(1).to_pylist()
             for at in range(0, len(texts), 500):

@@ -164,3 +164,11 @@ common.sole_cache("two")
 assert full - resident() > 150_000_000, (full, resident())
 """
     subprocess.run([sys.executable, "-c", script], check=True, cwd=Path(__file__).parents[2])
+
+
+def test_op8_keeps_more_cuts_on_its_own_than_in_the_pipeline(monkeypatch):
+    made = []
+    monkeypatch.setattr(spfst, "encode_column", lambda docs, **given: made.append(given))
+    monkeypatch.setattr(queries, "read_table", lambda *given: None)
+    queries.op8_sentencepiece(None, "")
+    assert made[0]["most_cached"] > spfst.MOST_CACHED
