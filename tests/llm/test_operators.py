@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 import time
 
 import numpy as np
@@ -557,3 +558,92 @@ def test_op7_finds_every_passage_of_few_seeds_and_each_of_its_copies(spark):
     got = chaining.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
     assert {(r.doc_id, r.src_doc_id) for r in got} == {(2 * i + 1, 2 * i) for i in range(40)} | {(91, 90)}
     assert sorted((r.start, r.end) for r in got if r.doc_id == 91) == [(5, 65), (135, 195)]
+
+
+def plain_chains(anchors):
+    """The chains by every predecessor within GAP."""
+    score, back = [], []
+    for i, (x, y) in enumerate(anchors):
+        best, at = 0.0, -1
+        for j in range(i - 1, -1, -1):
+            far, skip = x - anchors[j][0], y - anchors[j][1]
+            if 0 < far <= chaining.GAP and 0 < skip <= chaining.GAP and score[j] - chaining.GAP_COST * (far + skip) > best:
+                best, at = score[j] - chaining.GAP_COST * (far + skip), j
+        score.append(6.0 + best), back.append(at)
+    used, out = set(), []
+    for i in sorted(range(len(anchors)), key=lambda i: -score[i]):
+        chain = []
+        while i >= 0 and i not in used:
+            used.add(i), chain.append(i)
+            i = back[i]
+        out += [chain[::-1]] if chain else []
+    return out
+
+
+def test_op7_chains_are_the_best_and_look_back_only_where_it_can_help():
+    rnd, steps = random.Random(51), [0]
+    for _ in range(200):
+        anchors = {(rnd.randint(0, 90), rnd.randint(0, 90)) for _ in range(rnd.randint(1, 60))} | {(i + 3 * k, i + 9 * k) for k in range(3) for i in range(60) if rnd.random() < 0.7}
+        p, q = np.array(sorted(anchors)).T
+        assert chaining.chains(p, q) == plain_chains(sorted(anchors))
+
+    def count(frame, event, arg):
+        steps[0] += event == "line"
+        return count
+
+    p = np.arange(3000)
+    was = sys.gettrace()
+    sys.settrace(count)
+    try:
+        got = chaining.chains(p, np.where(p < 1500, p, p + 2))
+    finally:
+        sys.settrace(was)
+    assert got == [list(range(3000))] and steps[0] < 40 * len(p)  # 96 lines an anchor when all within GAP are looked at
+
+
+def test_op7_alignment_counts_the_common_words_between_seeds():
+    def longest(p, q):
+        rows = [[0] * (len(q) + 1)]
+        for u in p:
+            rows.append([0])
+            for j, v in enumerate(q):
+                rows[-1].append(rows[-2][j] + 1 if u == v else max(rows[-2][j + 1], rows[-1][j]))
+        return rows[-1][-1]
+
+    rnd = random.Random(52)
+    for kinds in (4, 30, 10**6) * 30:
+        one, two = [rnd.randrange(kinds) for _ in range(rnd.randint(20, 200))], []
+        for w in one:
+            two += rnd.choices([[w], [], [rnd.randrange(kinds)], [rnd.randrange(kinds), w]], [90, 3, 4, 3])[0]
+        assert chaining.common(one[:25], two[:30]) == longest(one[:25], two[:30])
+        a, b, places = np.array(one, np.uint64), np.array(two, np.uint64), {}
+        for j, h in enumerate(chaining.seeds(b).tolist()):
+            places.setdefault(h, j)
+        anchors = [(i, places[h]) for i, h in enumerate(chaining.seeds(a).tolist()) if h in places]
+        for c in chaining.chains(*np.array(anchors).T) if anchors else []:
+            at = [anchors[i] for i in c]
+            start, end, source, source_end, matched = chaining.align(a, b, *np.array(at).T)
+            (i, j), (k, m) = at[0], at[-1]
+            between = sum(longest(one[x:u], two[y:v]) for (x, y), (u, v) in zip(at, at[1:], strict=False))
+            before, after = chaining.extend(a[:i][::-1], b[:j][::-1]), chaining.extend(a[k:], b[m:])
+            assert (start, end, source, source_end) == (i - before[0], k + after[0], j - before[1], m + after[1])
+            assert matched == before[2] + between + after[2]
+
+
+def test_op7_words_of_many_texts_are_those_of_each():
+    rnd = random.Random(53)
+    for kind in (pa.string(), pa.large_string()):
+        texts = ["".join(rnd.choices(["a", "B", "Z ", "é", " ", "\n", "\t", "\x0b", "\U0001f600"], k=rnd.choice([0, 1, 2, 9, 300]))) for _ in range(400)]
+        texts = [*texts, None, "", "x" * 70_000, "Y " * 30_000, " ", "end"]
+        for some in (pa.array(texts, kind), pa.array(texts, kind).slice(7, 5), pa.array(texts, kind).slice(len(texts) - 6), pa.array([], kind)):
+            got = list(common.words_of(some))
+            assert [w.tolist() for w in got] == [common.word_hashes(t or "").tolist() for t in some.to_pylist()]
+
+
+def test_op7_orders_columns_of_any_range():
+    rnd = np.random.default_rng(54)
+    for low, high in ((0, 9), (-5, 2**20), (-(2**63), 2**63 - 1), (7, 8)):
+        columns = [rnd.integers(low, high, 500), rnd.integers(0, 3, 500).astype(np.uint64), rnd.integers(low, high, 500)]
+        by = chaining.sorted_by(*columns)
+        assert list(zip(*(c[by].tolist() for c in columns), strict=True)) == sorted(zip(*(c.tolist() for c in columns), strict=True))
+    assert not len(chaining.sorted_by(np.zeros(0, np.int64), np.zeros(0, np.uint64)))
