@@ -31,6 +31,8 @@ from .common import powers, sole_cache, spread, thin
 
 Q, SEGMENT, STRIDE, BUDGET = 8, 96, 48, 0.08
 BLOCK_CHARS = 4_000_000
+#: Pairs of a text's q-grams and a block's that are spelt out at once: some 200 bytes each while they are.
+MOST_PAIRS = 250_000
 _WHITE = re.compile(rb"\s+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _VALUE = np.random.default_rng(3).integers(1, 2**63, 256, dtype=np.uint64)
@@ -74,6 +76,12 @@ def distance_within(a: bytes, b: bytes, low: int, high: int) -> int:
     return int(row.min())
 
 
+def _spelt(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ranges of ``n`` numbers from ``first`` on, all numbers, and of each the range it is of."""
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) + (first - np.cumsum(n) + n)[of], of
+
+
 class Index:
     """Segments of a block of items and where their q-grams stand."""
 
@@ -119,13 +127,7 @@ class Index:
             ok = self.hash[p] == h[at]
             at, p = at[ok], p[ok]
         if len(at):
-            n = self.first[p + 1] - self.first[p]
-            which = np.repeat(self.first[p] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            seg, place, doc = self.segment[which], self.place[which], np.repeat(at, n)
-            enough = np.bincount(seg, minlength=len(self.need)) >= self.needs
-            keep = enough[seg]
-            seg, diagonal, doc = seg[keep], (doc - place)[keep], doc[keep]
-            for s, low, high in self._regions(seg, diagonal, doc):
+            for s, low, high in self._candidates(at, p):
                 item = self.item[s]
                 if item in best and best[item][0] == 0:
                     continue
@@ -134,6 +136,50 @@ class Index:
                     best[item] = (d, max(0, low), min(len(data), high + len(self.text[s])))
         return [(self.ids[i], *v) for i, v in sorted(best.items())]
 
+    def _candidates(self, at: np.ndarray, p: np.ndarray):
+        """``_regions`` of all segments for the places ``at`` of a text and the hashes ``p`` that stand there.
+
+        A q-gram of n places in the text and m in the segments makes n * m pairs, which long runs of one
+        letter let grow without bound. So segments are counted by distinct hash first; of those that share enough, some
+        MOST_PAIRS pairs are spelt out at once: by groups of segments, and for a segment of more by stretches of the text.
+        """
+        hashes, which, times = np.unique(p, return_inverse=True, return_counts=True)
+        posting, of = _spelt(self.first[hashes], self.first[hashes + 1] - self.first[hashes])
+        seg = self.segment[posting]
+        total = np.bincount(seg, weights=times[of], minlength=len(self.need)).astype(np.int64)
+        chosen = np.flatnonzero((total >= self.needs) & (total > 0))
+        if not len(chosen):
+            return
+        order = np.argsort(seg, kind="stable")  # of each segment, its hashes in order
+        seg, place, of = seg[order], self.place[posting[order]], of[order]
+        last = np.cumsum(total[chosen])
+        i = 0
+        while i < len(chosen):
+            j = max(i + 1, int(np.searchsorted(last, (last[i - 1] if i else 0) + MOST_PAIRS, "right")))
+            group = np.zeros(len(self.need), dtype=bool)
+            group[chosen[i:j]] = True
+            a, b = np.searchsorted(seg, [chosen[i], chosen[j - 1] + 1])
+            mine = a + np.flatnonzero(group[seg[a:b]])
+            mine = mine[np.argsort(of[mine], kind="stable")]
+            n = np.bincount(of[mine], minlength=len(hashes))
+            first, n = (np.cumsum(n) - n)[which], n[which]
+            if j - i > 1 or total[chosen[i]] <= MOST_PAIRS:
+                x, y = _spelt(first, n)
+                yield from self._regions(seg[mine[x]], at[y] - place[mine[x]], at[y])
+            else:
+                s, found = chosen[i], set()
+                span, upto = int(self.lengths[s] + self.ks[s]), np.cumsum(n)
+                t = 0
+                while t < len(at):  # each window of ``span`` lies in a stretch whole: the next one starts within ``span`` of the end
+                    u = max(int(np.searchsorted(upto, upto[t] + MOST_PAIRS, "right")), int(np.searchsorted(at, at[t] + 4 * span, "right")))
+                    x, y = _spelt(first[t:u], n[t:u])
+                    found.update(self._regions(seg[mine[x]], at[t:u][y] - place[mine[x]], at[t:u][y]))
+                    if u >= len(at):
+                        break
+                    t = max(t + 1, int(np.searchsorted(at, at[u] - span, "left")))
+                yield from sorted(found)
+            i = j
+
     def _regions(self, seg: np.ndarray, diagonal: np.ndarray, doc: np.ndarray):
         """(segment, first diagonal, last) of the bands whose shared q-grams meet the lemma's bound in some window.
 

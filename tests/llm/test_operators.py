@@ -4,6 +4,7 @@ import random
 import re
 import sys
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -524,6 +525,26 @@ def test_op3_finds_every_segment_within_the_budget():
         assert {f[0] for f in index.find(text)} == true
 
 
+def test_op3_long_runs_take_bounded_memory(monkeypatch):
+    """A run in text and items makes pairs by the million; they are never all held, and cutting them loses no region."""
+    items = [(i, "-" * 400 + f" item {i} " + " ".join(words(random.Random(i), 20))) for i in range(2)]
+    index = decontam.Index(items)
+    text = "-" * 1500 + " tail"
+    tracemalloc.start()
+    got = index.find(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(i, edits) for i, edits, *_ in got] == [(i, 0) for i in range(2)]
+    assert peak < 150_000_000, peak
+    text = "x" * 50 + "-" * 700 + items[1][1][380:] + "-" * 90
+    at = decontam.qgrams(decontam.normal(text), decontam.Q)
+    p = np.minimum(np.searchsorted(index.hash, at), len(index.hash) - 1)
+    places = np.flatnonzero(index.hash[p] == at)
+    whole = list(index._candidates(places, p[places]))
+    monkeypatch.setattr(decontam, "MOST_PAIRS", 5000)
+    assert whole and list(index._candidates(places, p[places])) == whole
+
+
 def test_texts_reach_python_in_small_batches(spark):
     def sizes(batches):
         for b in batches:
