@@ -306,9 +306,9 @@ def _pivot_pairs(placed: DataFrame, percent: int, turn: int) -> DataFrame:
     part = F.pmod(F.xxhash64("set_id", "tok", F.lit(turn)), F.lit(PIVOTS)).alias("part")
     each = rows.groupBy("tok", "comp", part).agg(F.count("*").alias("k"), F.min(pivot).alias("m")).groupBy("tok", "comp").agg(F.sum("k").alias("k"), F.collect_list("m").alias("m"))
     main = each.groupBy("tok").agg(F.max(F.struct("k", "comp", "m")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    outside = rows.join(main, "tok").where(F.col("comp") != F.col("main.comp")).select(F.explode("main.m").alias("m"), "set_id", "n", "pos")
+    outside = rows.join(main, "tok").where(F.col("comp") != F.col("main.comp")).select(F.explode(F.expr(f"filter(main.m, x -> {_places(percent, 'x.na', 'n', 'x.pa', 'pos')})")).alias("m"), "set_id", "n", "pos")
     pairs = outside.select("m.*", F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    return pairs.where(_places(percent)).select("a", "b", "na", "nb").distinct()
+    return pairs.select("a", "b", "na", "nb").distinct()
 
 
 def _few_pairs(left: DataFrame, percent: int) -> DataFrame:
